@@ -1,0 +1,10 @@
+"""Tables of an index version and the row of a ranked hit."""
+
+FILES = "path string, file_hash string, file_type string, parse_status string, domain_id string, trust_label string, modified_unix_ms long, index_version long"
+CHUNKS = "chunk_id string, path string, language string, symbol string, content string, file_hash string, trust_level string, domain_id string, trust_label string, start_line int, end_line int, index_version long"
+VECTORS = "chunk_id string, path string, embedding array<float>, index_version long"
+SYMBOLS = "symbol_name string, symbol_kind string, path string, language string, scope string, file_hash string, line_start int, line_end int, exported boolean, index_version long"
+SNAPSHOTS = "version long, state string, created_at timestamp, published_at timestamp"
+HITS = "rank int, path string, domain_id string, start_line int, end_line int, file_hash string, snapshot_version long, active_version long, score_rrf double, score_symbol double, score_bm25 double, score_vector double, source string, symbol_kind string, stale boolean, trust_label string, trust_level string, why_selected string"
+#: Values of columns that an older snapshot lacks.
+DEFAULTS = {"domain_id": "default", "trust_label": "trusted", "modified_unix_ms": 0}

@@ -1,0 +1,10 @@
+"""A session with the settings that the operators assume."""
+
+from pyspark.sql import SparkSession
+
+
+def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
+    b = SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", shuffle_partitions).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    for k, v in conf.items():
+        b = b.config(k, v)
+    return b.getOrCreate()

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 
 #: Entries that a worker keeps before it starts anew; a bound for memory, not for results.
-CACHE = 400_000
-#: White space of str.isspace, a superset of what the pre-tokenizer takes for it.
-_TWO_SPACES = re.compile(r"\s\s|^\s|\s\Z")
-_ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　﻿]|<\\|")
+CACHE = 800_000
+#: White space but blank and line feed, a superset of what the pre-tokenizer takes for it, and the mark of a line's first piece.
+_ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
+
+
+def _plain(text: str) -> bool:
+    """Only single blanks and line feeds, between visible characters, and no special token."""
+    return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text or _ODD.search(text))
 
 
 def default_vocabulary() -> str:
@@ -29,31 +33,60 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(vocabulary), {}
+        self.tokenizer, self.cache, self.feed = Tokenizer.from_file(vocabulary), {}, None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        for k, text in enumerate(texts):
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space, of which "\0" marks one without a blank before it. They are encoded as lines of one text: a line feed is a token of its own."""
+        import numpy as np
+
+        if not pieces:
+            return []
+        ids = np.frombuffer(self._ids(["\n".join([p[1:] if p[0] == "\0" else " " + p for p in pieces])])[0], "<u4")
+        if self.feed is None:
+            self.feed = np.frombuffer(self._ids(["\n"])[0], "<u4")
+        raw, ends = ids.tobytes(), np.flatnonzero(ids == self.feed[0]).tolist()
+        if len(self.feed) != 1 or len(ends) != len(pieces) - 1:
+            return [self._ids([p[1:] if p[0] == "\0" else " " + p])[0] for p in pieces]
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts new pieces into the cache. Full stops and commas after a letter are a piece of their own to the pre-tokenizer, so the word before them is looked up alone."""
+        cache = self.cache
+        if len(cache) > CACHE:
+            cache.clear()
+        if "\n" not in cache:
+            cache["\n"], cache["\0"] = self._ids(["\n"])[0], b""
+        split = {}
+        for p in dict.fromkeys(pieces):
+            if p not in cache:
+                q = p.rstrip(".,")
+                split[p] = (q, "\0" + p[len(q) :]) if len(q) < len(p) and q and q[-1].isalpha() else (p,)
+        new = [x for x in dict.fromkeys(x for parts in split.values() for x in parts) if x not in cache]
+        for k in range(0, len(new), 4096):
+            cache.update(zip(new[k : k + 4096], self._pieces(new[k : k + 4096]), strict=True))
+        for p, parts in split.items():
+            if len(parts) == 2:
+                cache[p] = cache[parts[0]] + cache[parts[1]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        for text in texts:
             if not text:
-                out[k] = b""
-            elif _TWO_SPACES.search(text) or _ODD.search(text):
-                out[k] = self._ids([text])[0]
+                out.append(b"")
+            elif not _plain(text):
+                out.append(self._ids([text])[0])
             else:
                 pieces = ("\0" + text.replace("\n", " \n \0")).split(" ")
-                cache = self.cache
                 try:
-                    out[k] = b"".join(map(cache.__getitem__, pieces))
+                    out.append(b"".join(map(self.cache.__getitem__, pieces)))
                 except KeyError:
-                    if len(cache) > CACHE:
-                        cache.clear()
-                    new = [p for p in dict.fromkeys(pieces) if p not in cache]
-                    cache.update(zip(new, self._ids([p[1:] if p[0] == "\0" else p if p == "\n" else " " + p for p in new]), strict=True))
-                    out[k] = b"".join(map(cache.__getitem__, pieces))
+                    self._learn(pieces)
+                    out.append(b"".join(map(self.cache.__getitem__, pieces)))
         return out
 
 

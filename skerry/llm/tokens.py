@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-#: Entries that a worker keeps before it starts anew; a bound for memory, not for results.
-CACHE = 800_000
+#: Entries of a generation of a worker's cache, which keeps two: a bound for memory, not for results.
+CACHE = 200_000
 #: White space but blank and line feed, a superset of what the pre-tokenizer takes for it, and the mark of a line's first piece.
 _ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
 
@@ -33,7 +33,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.feed = Tokenizer.from_file(vocabulary), {}, None
+        self.tokenizer, self.cache, self.old, self.feed = Tokenizer.from_file(vocabulary), {}, {}, None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -58,15 +58,25 @@ class Encoder:
         """Puts new pieces into the cache. Full stops and commas after a letter are a piece of their own to the pre-tokenizer, so the word before them is looked up alone."""
         cache = self.cache
         if len(cache) > CACHE:
-            cache.clear()
+            self.old, self.cache = cache, {}
+            cache = self.cache
         if "\n" not in cache:
             cache["\n"], cache["\0"] = self._ids(["\n"])[0], b""
-        split = {}
+        split, old = {}, self.old
         for p in dict.fromkeys(pieces):
-            if p not in cache:
+            if p in cache:
+                continue
+            if p in old:
+                cache[p] = old[p]
+            else:
                 q = p.rstrip(".,")
                 split[p] = (q, "\0" + p[len(q) :]) if len(q) < len(p) and q and q[-1].isalpha() else (p,)
-        new = [x for x in dict.fromkeys(x for parts in split.values() for x in parts) if x not in cache]
+        new = []
+        for x in dict.fromkeys(x for parts in split.values() for x in parts):
+            if x in old:
+                cache[x] = old[x]
+            elif x not in cache:
+                new.append(x)
         for k in range(0, len(new), 4096):
             cache.update(zip(new[k : k + 4096], self._pieces(new[k : k + 4096]), strict=True))
         for p, parts in split.items():

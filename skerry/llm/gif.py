@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,14 +56,23 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     return bytes(out) + acc.to_bytes(-(-have // 8), "little")
 
 
+@cache
+def _code_widths(bits: int):
+    """Of the codes after a clear code: their widths, and where in the stream they begin."""
+    import numpy as np
+
+    end = (1 << bits) + 1
+    widths = np.array([max(bits + 1, min(12, (end + 1 + max(0, k - 1)).bit_length())) for k in range(4096)])
+    return widths, np.concatenate([[0], np.cumsum(widths)])
+
+
 def lzw_decode(stream: bytes, bits: int, limit: int | None = None) -> bytes:
     """Samples of a code stream. Codes between two clear codes have widths that only their number fixes, so numpy cuts out a table's worth at a time."""
     import numpy as np
 
     clear, end = 1 << bits, (1 << bits) + 1
     roots = [bytes([k]) for k in range(clear)] + [b"", b""]
-    widths = np.array([max(bits + 1, min(12, (end + 1 + max(0, k - 1)).bit_length())) for k in range(4096)])
-    offsets = np.concatenate([[0], np.cumsum(widths)])
+    widths, offsets = _code_widths(bits)
     raw = np.frombuffer(stream + bytes(8), np.uint8)
     at, total, out, last = 0, 8 * len(stream), [], None
     table, full = list(roots), False
@@ -112,6 +122,7 @@ def lzw_decode(stream: bytes, bits: int, limit: int | None = None) -> bytes:
     return data if limit is None else data[:limit]
 
 
+@cache
 def grey_palette() -> bytes:
     return bytes(v for k in range(256) for v in (k, k, k))
 

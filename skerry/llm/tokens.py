@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Entries of a generation of a worker's cache, which keeps two: a bound for memory, not for results.
-CACHE = 200_000
+CACHE = 250_000
 #: White space but blank and line feed, a superset of what the pre-tokenizer takes for it, and the mark of a line's first piece.
 _ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
 

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import re
+import string
+import sys
+from array import array
+
+import numpy as np
 
 #: Entries of a generation of a worker's cache, which keeps two: a bound for memory, not for results.
 CACHE = 250_000
+PUNCTUATION, LETTERS = string.punctuation, "\u0590"
 #: White space but blank and line feed, a superset of what the pre-tokenizer takes for it, and the mark of a line's first piece.
 _ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
 
@@ -21,10 +27,45 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that a byte-level vocabulary writes bytes as: printable ones stand for themselves, the others, in order, for those from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+class _Pieces(dict):
+    """Ids of pieces without white space, of which "\0" marks one without a blank before it; computed when first asked for.
+
+    ASCII punctuation after a letter is a piece of its own to the pre-tokenizer, so the word before it and the punctuation are looked up apart, and only those are kept. A word of letters alone is one piece to the pre-tokenizer and goes to the model at once. Letters count as such here below U+0590, where all versions of Unicode in use agree; what has others is encoded in the common way.
+    """
+
+    def __init__(self, tokenizer, old: dict[str, bytes]):
+        self.tokenizer, self.model, self.old, self.letters = tokenizer, tokenizer.model, old, _byte_letters()
+        self["\0"] = b""
+
+    def __missing__(self, p: str) -> bytes:
+        q = p.rstrip(PUNCTUATION)
+        if q is not p and len(q) < len(p) and q and q[-1].isalpha() and q[-1] < LETTERS:
+            return self[q] + self["\0" + p[len(q) :]]
+        ids = self.old.get(p)
+        if ids is None:
+            bare = p[0] == "\0"
+            word = p[1:] if bare else p
+            if word.isalpha() and max(word) < LETTERS:
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(word if bare else self.letters[32] + word)]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(word if bare or word == "\n" else " " + word, add_special_tokens=False).ids).tobytes()
+        self[p] = ids
+        return ids
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, equal to tokenizer.encode(text, add_special_tokens=False).
 
-    The byte-level pre-tokenizer always parts a text before a single space, and around a single line feed, between two visible characters. So the pieces between those places are encoded alone, each distinct one once, and their ids joined. Texts with other white space, with runs of it or with a mark of a special token are encoded whole.
+    The byte-level pre-tokenizer always parts a text before a single space, and around a single line feed, between two visible characters. So the pieces between those places are encoded alone, each distinct one once, and their ids joined. Texts with other white space, with runs of it or with a mark of a special token are encoded whole, and so are all texts with a vocabulary of another kind.
     """
 
     def __init__(self, vocabulary: str):
@@ -33,70 +74,23 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.old, self.feed = Tokenizer.from_file(vocabulary), {}, {}, None
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space, of which "\0" marks one without a blank before it. They are encoded as lines of one text: a line feed is a token of its own."""
-        import numpy as np
-
-        if not pieces:
-            return []
-        ids = np.frombuffer(self._ids(["\n".join([p[1:] if p[0] == "\0" else " " + p for p in pieces])])[0], "<u4")
-        if self.feed is None:
-            self.feed = np.frombuffer(self._ids(["\n"])[0], "<u4")
-        raw, ends = ids.tobytes(), np.flatnonzero(ids == self.feed[0]).tolist()
-        if len(self.feed) != 1 or len(ends) != len(pieces) - 1:
-            return [self._ids([p[1:] if p[0] == "\0" else " " + p])[0] for p in pieces]
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Puts new pieces into the cache. Full stops and commas after a letter are a piece of their own to the pre-tokenizer, so the word before them is looked up alone."""
-        cache = self.cache
-        if len(cache) > CACHE:
-            self.old, self.cache = cache, {}
-            cache = self.cache
-        if "\n" not in cache:
-            cache["\n"], cache["\0"] = self._ids(["\n"])[0], b""
-        split, old = {}, self.old
-        for p in dict.fromkeys(pieces):
-            if p in cache:
-                continue
-            if p in old:
-                cache[p] = old[p]
-            else:
-                q = p.rstrip(".,")
-                split[p] = (q, "\0" + p[len(q) :]) if len(q) < len(p) and q and q[-1].isalpha() else (p,)
-        new = []
-        for x in dict.fromkeys(x for parts in split.values() for x in parts):
-            if x in old:
-                cache[x] = old[x]
-            elif x not in cache:
-                new.append(x)
-        for k in range(0, len(new), 4096):
-            cache.update(zip(new[k : k + 4096], self._pieces(new[k : k + 4096]), strict=True))
-        for p, parts in split.items():
-            if len(parts) == 2:
-                cache[p] = cache[parts[0]] + cache[parts[1]]
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        splitter = repr(self.tokenizer.pre_tokenizer)
+        self.parted = splitter.startswith("ByteLevel(") and "add_prefix_space=False" in splitter and "use_regex=True" in splitter and self.tokenizer.normalizer is None and sys.byteorder == "little"
+        self.cache = _Pieces(self.tokenizer, {})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
+        if len(self.cache) > CACHE:
+            self.cache.old = {}
+            self.cache = _Pieces(self.tokenizer, self.cache)
+        find, out = self.cache.__getitem__, []
         for text in texts:
             if not text:
                 out.append(b"")
-            elif not _plain(text):
-                out.append(self._ids([text])[0])
+            elif self.parted and _plain(text):
+                out.append(b"".join(map(find, ("\0" + text.replace("\n", " \n \0")).split(" "))))
             else:
-                pieces = ("\0" + text.replace("\n", " \n \0")).split(" ")
-                try:
-                    out.append(b"".join(map(self.cache.__getitem__, pieces)))
-                except KeyError:
-                    self._learn(pieces)
-                    out.append(b"".join(map(self.cache.__getitem__, pieces)))
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, whole_texts
 from .tokens import default_vocabulary, encoder
 
 BLOCK_BYTES, FILE_BYTES, BITS_PER_KEY, HASHES = 4096, 16 << 20, 10, 7
@@ -98,8 +98,8 @@ class Writer:
         for key in self.keys:
             for b in _bits(key, bits, HASHES):
                 bloom[b >> 3] |= 1 << (b & 7)
-        self.data += bloom
-        return bytes(self.data) + FOOTER.pack(at, filter_at, bits, self.n, self.ids, HASHES, MAGIC)
+        self.data += bloom + FOOTER.pack(at, filter_at, bits, self.n, self.ids, HASHES, MAGIC)
+        return bytes(self.data)
 
 
 class Table:
@@ -155,7 +155,7 @@ def write_tables(documents: DataFrame, path: str, vocabulary: str | None = None,
     vocabulary = vocabulary or default_vocabulary()
     spark = documents.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = whole_texts(documents).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
         import numpy as np
@@ -191,8 +191,8 @@ def _tables(batch) -> Iterator[tuple[str, Table]]:
         yield p.as_py(), Table(data if data.endswith(MAGIC) else data[: data.rindex(MAGIC) + len(MAGIC)])
 
 
-def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids binary as unsigned 32-bit little-endian) of each entry; start counts the ids of all entries of all files before it. Files are ordered by their first keys, and their totals, a row a file, are summed by the driver."""
+def read_tables(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids binary as unsigned 32-bit little-endian) of each entry, without the last if not asked for; start counts the ids of all entries of all files before it. Files are ordered by their first keys, and their totals, a row a file, are summed by the driver."""
     import pyarrow as pa
 
     def totals(batches):
@@ -212,13 +212,13 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
 
         import numpy as np
 
-        names, types = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names, types = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 4 + with_ids]
         for b in batches:
             for p, table in _tables(b):
                 first, cols, size = starts.value[p], [[] for _ in names], 0
                 for key, ids_before, n, value in table:
                     ids = bytes(value) if len(value) == 4 * n else np.frombuffer(value, "<u2").astype("<u4").tobytes()
-                    for c, x in zip(cols, (id_of(key), first + ids_before, n, zlib.crc32(ids), ids), strict=True):
+                    for c, x in zip(cols, (id_of(key), first + ids_before, n, zlib.crc32(ids), ids)[: 4 + with_ids], strict=True):
                         c.append(x)
                     size += len(ids)
                     if size > 4 << 20:
@@ -226,7 +226,7 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
                         cols, size = [[] for _ in names], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return _files(spark, path).mapInArrow(entries, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return _files(spark, path).mapInArrow(entries, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -251,4 +251,4 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 def op6_sstable(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "sstable")
     write_tables(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return read_tables(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_tables(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything that is no digit, no letter of ASCII and no character beyond ASCII parts two words.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Rows of an Arrow batch of texts: a bound for memory, not for results.
+BATCH_ROWS = 1000
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -29,6 +31,12 @@ def work_dir(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+def whole_texts(documents: DataFrame) -> DataFrame:
+    """documents, for a Python operator over whole texts: Arrow batches of the session then hold at most BATCH_ROWS rows, in the JVM and in each Python worker."""
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return documents
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{work_dir(spark)}/skerry-{name}-{uuid.uuid4().hex}"
     _staged.append((spark, path))

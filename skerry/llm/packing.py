@@ -11,7 +11,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, whole_texts
 from .tokens import default_vocabulary, encoder
 
 SIZE, SALTS, NODES, FILLINGS, TRIES = 2048, 32, 2_000, 6, 24
@@ -197,7 +197,7 @@ def pieces(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None
                             c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return whole_texts(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def assign(items: DataFrame, size: int = SIZE, nodes: int = NODES) -> DataFrame:

@@ -13,7 +13,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, stage, whole_texts
+from .tokens import release
 
 SHINGLE, MAX_BITS, BUCKET_CAP = 4, 4, 1024
 
@@ -49,11 +50,12 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
+        release()
         for b in batches:
             fps = [_fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return whole_texts(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def segments(n: int, max_bits: int) -> list[tuple[int, int, int]]:

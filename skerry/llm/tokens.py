@@ -41,21 +41,22 @@ class _Pieces(dict):
     """
 
     def __init__(self, tokenizer, old: dict[str, bytes]):
-        self.tokenizer, self.model, self.old, self.letters = tokenizer, tokenizer.model, old, _byte_letters()
+        self.tokenizer, self.tokenize, self.old, self.letters = tokenizer, tokenizer.model.tokenize, old, _byte_letters()
+        self.blank = self.letters[32]
         self["\0"] = b""
 
     def __missing__(self, p: str) -> bytes:
-        q = p.rstrip(PUNCTUATION)
-        if q is not p and len(q) < len(p) and q and q[-1].isalpha() and q[-1] < LETTERS:
+        last = p[-1]
+        if last in PUNCTUATION and (q := p.rstrip(PUNCTUATION)) and q[-1].isalpha() and q[-1] < LETTERS:
             return self[q] + self["\0" + p[len(q) :]]
         ids = self.old.get(p)
         if ids is None:
             bare = p[0] == "\0"
             word = p[1:] if bare else p
-            if word.isalpha() and max(word) < LETTERS:
+            if word.isalpha() and (word.isascii() or max(word) < LETTERS):
                 if not word.isascii():
                     word = word.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.model.tokenize(word if bare else self.letters[32] + word)]).tobytes()
+                ids = array("I", [t.id for t in self.tokenize(word if bare else self.blank + word)]).tobytes()
             else:
                 ids = array("I", self.tokenizer.encode(word if bare or word == "\n" else " " + word, add_special_tokens=False).ids).tobytes()
         self[p] = ids
@@ -97,6 +98,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def release() -> None:
+    """Frees the worker's encoders; tasks of other operators begin with it, as workers outlive stages."""
+    _encoders.clear()
+
+
 def encoder(vocabulary: str) -> Encoder:
     """The worker's encoder, kept from task to task."""
     if vocabulary not in _encoders:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import decontaminate, langid, linededup, packing, simhash
+from skerry.llm import decontaminate, langid, linededup, nearcopies, packing
 from skerry.llm.common import same, stage
 
 
@@ -23,9 +23,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id stays, once if its row repeats; documents without a doc_id can't be told apart and stay."""
-    found = stage(simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Documents whose five-word shingles have a Jaccard similarity of 0.8 or more are linked. Of each group the one with the smallest doc_id stays, once if its row repeats; documents without a doc_id can't be told apart and stay."""
+    found = stage(nearcopies.kept(docs), "kept")
+    keyed = docs.filter("doc_id is not null").withColumn("key", nearcopies.text_key())
+    named = keyed.join(found, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(*docs.columns)
     return named.unionByName(docs.filter("doc_id is null"))
 
 

@@ -1,6 +1,6 @@
 """Personal data: base patterns, and offset-preserving deobfuscation.
 
-Three transducers rewrite a text where it is disguised, and keep for each character that they put out the source span it stands for: homoglyphs and full-width forms to ASCII (and invisible characters to nothing), spelled digits to digits, and disguises of "@" and "." to these characters. The base patterns then run over what comes out, and a match is mapped back to the source characters from its first character's start to its last one's end. A match that a base span of its kind holds already adds nothing.
+Four transducers rewrite a text where it is disguised, and keep for each character that they put out the source span it stands for: homoglyphs and full-width forms to ASCII (and invisible characters to nothing), spelled digits to digits, disguised dots between four groups of digits to ".", and disguises of "@" and "." to these characters. The base patterns then run over what comes out, and a match is mapped back to the source characters from its first character's start to its last one's end. A match that a base span of its kind holds already adds nothing.
 """
 
 from __future__ import annotations
@@ -69,15 +69,20 @@ _LOOK_RE = re.compile("[" + "".join(map(chr, sorted(_LOOK))).replace("\\", "\\\\
 
 _DIGITS = {w: str(k % 10) for k, w in enumerate("zero one two three four five six seven eight nine oh".split())} | {"null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
 _DIGIT = r"(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r"|[0-9]+)"
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus\s+)?{_DIGIT}(?:(?:[\s,.-]{{1,3}}|\s*[(\[{{]?\bdot\b[)\]}}]?\s*|\s*\bpoint\b\s*){_DIGIT}){{3,}}(?![^\W_])", re.I)
-_SPELLED_HINT = re.compile(r"(?<![^\W_])(?:one|two|three|four|five|six|seven|eight|nine|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|deux|trois|quatre|cinq|sept|huit|neuf)[\s,.-]{1,3}(?:[a-zéü]{2,6}|[0-9])", re.I)
-_DIGIT_WORD = re.compile(rf"({_DIGIT})|(plus\s+)|(dot|point)|(.)", re.I | re.S)
+_BRACKETED_DOT = r"[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]"
+# The first character is tested before the words are tried: nearly all positions of a text end there.
+_SPELLED = re.compile(rf"(?<![^\W_])(?=[0-9acdefnopqstuvz])(?:plus\s+)?{_DIGIT}(?:(?:\s*{_BRACKETED_DOT}\s*|[\s,.-]{{1,3}}|\s*[(\[{{]?\bdot\b[)\]}}]?\s*|\s*\bpoint\b\s*){_DIGIT}){{3,}}(?![^\W_])", re.I)
+_DIGIT_WORD = re.compile(rf"({_DIGIT})|(plus\s+)|({_BRACKETED_DOT}|dot|point)|(.)", re.I | re.S)
 
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba|chez|ät)\s*[\])}>]\s*|\s+(?:at|arroba|ät)\s+|\s+@\s*|\s*@\s+|\s*&#64;\s*|\s*_at_\s*|\s*%40\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\s+\.\s+|\s*&#46;\s*|\s*_dot_\s*)"
 _PART = r"[A-Za-z0-9-]+"
 _AT_RE, _DOT_RE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
-_AT_HINT = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|ät|dot|\.|punkt|punto|point)\s*[\])}>]|\b(?:at|arroba|ät)\s+[A-Za-z0-9-]+\s*(?:\.|[\[({<]|\s(?:dot|punkt|punto|point)\s)|\s@|@\s|\b(?:dot|punkt|punto|point)\b|&#(?:64|46);|_(?:at|dot)_|%40", re.I)
+#: Whatever _ADDRESS finds and _addresses rewrites has one of these: a disguised at, a plain one and a disguised dot, or a bare one before a name and a dot.
+_AT_HINT = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|ät)\s*[\])}>]|&#64;|_at_|%40|\s@|@\s", re.I)
+_BARE_AT_HINT = re.compile(rf"\s(?:at|arroba|ät)\s+[A-Za-z0-9-]+(?:{_DOT}|\.)", re.I)
+#: Digit groups of an address with plain and disguised dots.
+_DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,64}}(?:(?:{_DOT}|\.)[0-9]{{1,64}}){{3}}(?![0-9])", re.I)
 #: A disguised address: a name of words joined by dots, plain or disguised, an at, and labels joined likewise, the last a top-level name; a bare "at" between blanks counts only with a bare or bracketed "dot" after it.
 _STRONG_AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba|chez|ät)\s*[\])}>]\s*|\s*&#64;\s*|\s*_at_\s*|\s*%40\s*|\s*@\s*)"
 _ADDRESS = re.compile(
@@ -117,13 +122,11 @@ def _homoglyphs(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    if not _SPELLED_HINT.search(text):
-        return []
     out = []
     for m in _SPELLED.finditer(text):
         if not re.search(r"[^\W\d_]", m[0]):
             continue  # digits alone are the base patterns' work
-        dots = re.search(r"\b(?:dot|point)\b", m[0], re.I)
+        dots = re.search(rf"\b(?:dot|point)\b|{_BRACKETED_DOT}", m[0], re.I)
         for d in _DIGIT_WORD.finditer(m[0]):
             a, b = m.start() + d.start(), m.start() + d.end()
             if d[1]:
@@ -137,8 +140,12 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _dotted(text: str) -> list[tuple[int, int, str]]:
+    return [(d.start(), d.end(), ".") for m in _DOTTED.finditer(text) for d in _DOT_RE.finditer(text, m.start(), m.end())]
+
+
 def _addresses(text: str) -> list[tuple[int, int, str]]:
-    if not _AT_HINT.search(text):
+    if not (_AT_HINT.search(text) or ("@" in text and _DOT_RE.search(text)) or _BARE_AT_HINT.search(text)):
         return []
     out = []
     for m in _ADDRESS.finditer(text):
@@ -156,7 +163,7 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
 def deobfuscate(text: str) -> Rewrite:
     """The text after all transducers, with its way back."""
     r = Rewrite(text)
-    for step in (_homoglyphs, _spelled, _addresses):
+    for step in (_homoglyphs, _spelled, _dotted, _addresses):
         r.apply(step(r.text))
     return r
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from skerry.llm import pii
 
 
 def shingles(text, n=5):
@@ -46,3 +47,14 @@ def test_near_dedup_links_all_pairs_of_similarity_08(spark):
     got = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted(r.doc_id for r in got) == sorted(set(of))
     assert len(set(of)) < len(texts) - 20
+
+
+def test_each_disguise_alone_is_found():
+    alone = ["192 dot 168 dot 0 dot 1", "one[dot]two[dot]three[dot]four", "192[.]168[.]0[.]1", "192(dot)168(dot)0(dot)1", "192 punkt 168 punkt 0 punkt 1", "192&#46;168&#46;0&#46;1", "192 . 168 . 0 . 1", "one[.]two[.]three[.]four", "192_dot_168_dot_0_dot_1", "zero dot oh dot null dot cero", "six point sept point oh point un"]
+    for t in alone:
+        for text, at in ((t, 0), (f"See {t}, thanks.", 4)):
+            assert pii.scan(text) == ([], [("ip", at, at + len(t))]), text
+    for t in ["john@example . com", "john@example [dot] com", "john@example&#46;com", "john@example_dot_com", "john @ example.com", "john [at] example.com", "john&#64;example.com", "john_at_example.com", "john%40example.com", "john at example dot com", "john at example . com", "john at example&#46;com", "john at mail.example punkt com"]:
+        assert ("email", 0, len(t)) in pii.scan(t)[1], t
+    for t in ["192.168.0.1", "john@example.com"]:
+        assert pii.scan(t)[1] == []

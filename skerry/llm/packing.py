@@ -33,8 +33,21 @@ def _pair(lengths: list[int], counts: dict[int, int], room: int) -> tuple[int, .
     return found
 
 
+def _extended(f: tuple[int, ...], lengths: list[int], counts: dict[int, int], room: int) -> tuple[int, ...]:
+    """f and, largest first, what of the stock beside it still fits, until nothing does."""
+    out, rest = list(f), room - sum(f)
+    k = bisect.bisect_right(lengths, rest) - 1
+    while k >= 0:
+        x = lengths[k]
+        n = min(rest // x, counts[x] - f.count(x))
+        out += [x] * n
+        rest -= n * x
+        k = min(k, bisect.bisect_right(lengths, rest)) - 1
+    return tuple(out)
+
+
 def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = FILLINGS, tries: int = TRIES) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` from lengths (ascending, those in stock), best fit first, of equal fit the one of fewer and larger items: the closest single item, the closest pair, and the closest pairs beside each of the largest items and pairs of items, `tries` of them. A filling is left out if each of its items fits in the place of another item of one that is kept."""
+    """Undominated fillings of `room` from lengths (ascending, those in stock), best fit first, of equal fit the one of fewer and larger items: the closest single item, the closest pair, and the closest pairs beside each of the largest items and pairs of items, `tries` of them, each extended until nothing in stock fits. A filling is left out if each of its items fits in the place of another item of one that is kept."""
     found: list[tuple[int, ...]] = []
     k = bisect.bisect_right(lengths, room) - 1
     if k < 0:
@@ -73,7 +86,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int =
                     if 2 * x + sum(p) == room:
                         break
     out: list[tuple[int, ...]] = []
-    for f in sorted({tuple(sorted(f, reverse=True)) for f in found}, key=lambda f: (room - sum(f), len(f), [-x for x in f])):
+    for f in sorted({tuple(sorted(_extended(f, lengths, counts, room), reverse=True)) for f in found}, key=lambda f: (room - sum(f), len(f), [-x for x in f])):
         if not any(len(f) <= len(g) and all(x <= y for x, y in zip(f, g, strict=False)) for g in out):
             out.append(f)
     return out[:most]

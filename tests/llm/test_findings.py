@@ -1,9 +1,10 @@
 """Whole jobs that were once done in part."""
 
+import bisect
 import random
 
 import corpus_pipeline
-from skerry.llm import pii
+from skerry.llm import packing, pii
 
 
 def shingles(text, n=5):
@@ -58,3 +59,34 @@ def test_each_disguise_alone_is_found():
         assert ("email", 0, len(t)) in pii.scan(t)[1], t
     for t in ["192.168.0.1", "john@example.com"]:
         assert pii.scan(t)[1] == []
+
+
+def best_fit_decreasing(counts, size):
+    rooms, n = [], 0
+    for x in sorted((x for x, k in counts.items() for _ in range(k)), reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        if at < len(rooms):
+            room = rooms.pop(at)
+        else:
+            room, n = size, n + 1
+        if room > x:
+            bisect.insort(rooms, room - x)
+    return n
+
+
+def test_fillings_cannot_be_extended():
+    r = random.Random(3)
+    for _ in range(300):
+        counts = {r.randint(1, 700): r.choice([1, 2, 40]) for _ in range(r.randint(1, 12))}
+        room = r.randint(1, 2048)
+        for f in packing.fillings(sorted(counts), dict(counts), room):
+            assert all(f.count(x) <= counts[x] for x in f)
+            assert not any(x <= room - sum(f) and f.count(x) < counts[x] for x in counts), (counts, room, f)
+
+
+def test_a_hot_length_packs_no_worse_than_best_fit_decreasing():
+    for counts in ({700: 10_000, 50: 100_000}, {700: 10_000, 50: 30_000, 33: 20_000, 900: 500}, {600: 9_000, 20: 100_000}):
+        patterns = packing.pack_histogram(dict(counts), 2048)
+        assert all(sum(p) <= 2048 for p, _ in patterns)
+        assert all(sum(p.count(x) * n for p, n in patterns) == k for x, k in counts.items())
+        assert sum(n for _, n in patterns) <= best_fit_decreasing(counts, 2048)

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accents that the full-text tokenizer folds.
-ACCENTS = ("èéÊÄñÍêÉçÈíÇÑüäöÖóÜÓ", "eeEAnIeEcEiCNuaoOoUO")
+
+def _accents() -> tuple[str, str]:
+    """Every letter that is another letter with marks, and that letter."""
+    marked, bare = [], []
+    for code in range(0xC0, 0x2000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isalpha() and all(unicodedata.combining(m) for m in marks):
+            marked.append(chr(code))
+            bare.append(base)
+    return "".join(marked), "".join(bare)
+
+
+#: Letters with marks, which the full-text tokenizer folds, and what they become.
+ACCENTS = _accents()
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What a query must hold to count as one of an intent.
 CONFIG_NEEDLES = (".toml", ".yaml", ".yml", ".json", "mount_point", "allow_roots", "deny_globs", "trust_label", "metrics_bind", "health_bind")
 COMMAND_NEEDLES = ("run-step", "ap.add_argument(", "invoke-expression", "powershell", "executionpolicy", " -file ", ".ps1", ".sh", "bash -lc", "git ls-files", "cargo run")
@@ -27,12 +42,14 @@ def overlap_terms(c: Column) -> Column:
 
 
 def embedding_tokens(c: Column) -> Column:
-    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), "")
+    """Runs of letters, digits and underscores, A-Z lower-cased."""
+    return F.array_remove(F.split(F.translate(c, UPPER, LOWER), r"[^\p{L}\p{N}_]+"), "")
 
 
 def search_terms(c: Column) -> Column:
-    """Full-text terms: folded, lower-cased, split at what is neither letter nor digit."""
-    return F.array_remove(F.split(F.lower(F.translate(c, *ACCENTS)), r"[^\p{L}\p{N}]+"), "")
+    """Full-text terms: folded, lower-cased, split at what is neither letter nor digit. ASCII, the common case, skips the folding."""
+    folded = F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, *ACCENTS))
+    return F.array_remove(F.split(F.lower(folded), r"[^\p{L}\p{N}]+"), "")
 
 
 def pascal(terms: Column) -> Column:
@@ -49,6 +66,67 @@ def symbol_variants(c: Column) -> Column:
     return F.filter(F.array_distinct(made), lambda v: (v != "") & (v != "_"))
 
 
+def lower_distinct(c: Column) -> Column:
+    """The strings of an array, A-Z lower-cased, each once, in order."""
+    return F.array_distinct(F.transform(c, lambda v: F.translate(v, UPPER, LOWER)))
+
+
+def bm25_variants(c: Column) -> Column:
+    """Spellings of a full-text query, in the order in which they are tried: as it is, with blanks for underscores, its terms alone; each once but for case."""
+    q = trimmed(c)
+    made = F.array(q, trimmed(F.replace(q, F.lit("_"), F.lit(" "))), F.array_join(query_terms(q), " "))
+    low = F.transform(made, lambda v: F.translate(v, UPPER, LOWER))
+    first = F.transform(made, lambda v, i: F.when((v != "") & (F.array_position(low, F.get(low, i)) == i + 1), v))
+    return F.array_compact(first)
+
+
+def term_sets(c: Column) -> Column:
+    """The distinct sets of terms that a query's spellings ask for, in order: spellings of the same terms have the same hits."""
+    sets = F.transform(bm25_variants(c), lambda v: F.array_sort(F.array_distinct(search_terms(v))))
+    return F.array_distinct(F.filter(sets, lambda s: F.size(s) > 0))
+
+
+def normalize_spaces(c: Column) -> Column:
+    """A suite's query: trimmed, white space as one blank, lower-cased."""
+    return F.lower(F.regexp_replace(trimmed(c), r"\s+", " "))
+
+
+def slug(c: Column) -> Column:
+    """A label as a file name: lower-cased, runs of other characters than letters and digits as one underscore, none at the ends; "dataset" for what leaves nothing."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(s == "", "dataset").otherwise(s)
+
+
+def cache_key(query: Column, snapshot: Column, active: Column) -> Column:
+    return F.concat_ws("|", query, snapshot.cast("string"), active.cast("string"))
+
+
+def hit_paths(markdown: Column) -> Column:
+    """The paths of rendered hits: of each heading of level two what stands between its first two backticks, if that isn't blank."""
+    heads = F.filter(F.split(markdown, "\r?\n"), lambda x: x.startswith("## "))
+    found = F.transform(heads, lambda x: trimmed(F.regexp_extract(x, "^[^`]*`([^`]*)`", 1)))
+    return F.filter(found, lambda p: p != "")
+
+
+def fnv1a64(c: Column) -> Column:
+    """The 64-bit FNV-1a hash of the UTF-8 bytes, as a signed number.
+
+    Numbers of 64 bits don't wrap in ANSI mode, so the hash is carried as two halves of 32 bits, whose products with the prime 2^40 + 435 stay below 2^63.
+    """
+    low, mask = 0x1B3, F.lit(0xFFFFFFFF)
+    octets = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(c), F.lit(1))), lambda i: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    octets = F.when(F.octet_length(c) > 0, octets).otherwise(F.array().cast("array<bigint>"))
+
+    def step(acc: Column, b: Column) -> Column:
+        lo = acc["lo"].bitwiseXOR(b)
+        product = lo * low
+        hi = acc["hi"] * low + F.shiftleft(lo, 8) + F.shiftright(product, 32)
+        return F.struct(hi.bitwiseAND(mask).alias("hi"), product.bitwiseAND(mask).alias("lo"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+    return F.aggregate(octets, start, step, lambda acc: F.shiftleft(acc["hi"], 32).bitwiseOR(acc["lo"]))
+
+
 def normalize_query(c: Column) -> Column:
     """A query from a virtual file name."""
     return trimmed(F.replace(F.replace(F.regexp_replace(c, r"(\.md)+$", ""), F.lit("_"), F.lit(" ")), F.lit("%20"), F.lit(" ")))

@@ -40,6 +40,13 @@ def chunk_paragraphs(files: DataFrame) -> DataFrame:
     return parts.select("path", F.concat(F.lit("txt:"), F.col("i").cast("string")).alias("chunk_id"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), trimmed(F.col("content")).alias("content"), F.lit(None).cast("string").alias("symbol")).filter("content <> ''")
 
 
+def text_samples(files: DataFrame, n: int, least: int = 20, most: int = 1200) -> DataFrame:
+    """The first n paragraphs, by path and place, of at least `least` bytes, of files that hold text, each as its first `most` characters: what an embedder is tried on."""
+    kinds = F.col("path").rlike(r"(?i)\.(rs|py|ts|tsx|js|jsx|java|go|md|txt|toml|yaml|yml|json)$")
+    parts = files.filter(kinds).select("path", F.posexplode(F.split("content", "\n\n", -1)).alias("place", "raw")).select("path", "place", trimmed(F.col("raw")).alias("sample"))
+    return parts.filter(F.octet_length("sample") >= least).orderBy("path", "place").limit(n).select("path", "place", F.substring("sample", 1, most).alias("sample"))
+
+
 def chunk_lines(files: DataFrame, n: int = CHUNK_LINES) -> DataFrame:
     """Windows of max(20, n) lines that don't overlap; lines count from 1."""
     n = max(20, n)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,6 +38,119 @@ def release_gate(m: DataFrame, recall: float = 0.90, mrr: float = 0.80, symbol:
     return rows.unionByName(rows.agg(F.lit("all").alias("check"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("threshold"), F.bool_and("passed").alias("passed")))
 
 
+def checked(values: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """values (metric, value): (check, value, threshold, passed) of the metrics that have an upper limit, and the verdict over all; a metric that is missing fails."""
+    spark = values.sparkSession
+    wanted = spark.createDataFrame(sorted(limits.items()), "check string, threshold double")
+    rows = wanted.join(values.select(F.col("metric").alias("check"), F.col("value").cast("double")), "check", "left").select("check", "value", "threshold", F.coalesce(F.col("value") <= F.col("threshold"), F.lit(False)).alias("passed"))
+    return rows.unionByName(rows.agg(F.lit("all").alias("check"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("threshold"), F.bool_and("passed").alias("passed")))
+
+
+def bounded_sample(samples: DataFrame, cap: int, by: str, order: str, value: str) -> DataFrame:
+    """What a ring of `cap` places keeps of samples that come in order: the last of each place, places being the running number modulo cap."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    placed = samples.withColumn("nth", n).withColumn("place", F.pmod(F.col("nth") - 1, F.lit(cap)))
+    return placed.groupBy(by, "place").agg(F.max_by(value, "nth").alias(value))
+
+
+def sweep(spark: SparkSession, backends: list[str], tops: list[int]) -> DataFrame:
+    """The grid of settings: (backend, top), a configuration's size."""
+    return spark.createDataFrame([(b, t) for b in backends for t in tops], "backend string, top int")
+
+
+def best_setting(runs: DataFrame, by: list[str], setting: list[str], measure: str) -> DataFrame:
+    """Of each group the setting of the greatest measure, of equal ones the first by its columns."""
+    w = Window.partitionBy(*by).orderBy(F.desc(measure), *setting)
+    return runs.withColumn("nth", F.row_number().over(w)).filter("nth = 1").select(*by, *setting, measure)
+
+
+#: Status of a candidate domain: what is to be done with it.
+PROMOTION = {"uncovered": "promote_candidate", "covered_gap": "harden_existing", "covered_partial": "expand_parent_root", "covered_representative": "add_strict_holdout", "covered_ok": "monitor"}
+
+
+def promotion(status: Column, next_action: Column) -> Column:
+    out = None
+    for known, state in PROMOTION.items():
+        out = F.when(status == known, state) if out is None else out.when(status == known, state)
+    return out.when(next_action == "query_level_triage", "harden_existing").otherwise("review")
+
+
+def promotion_counts(rows: DataFrame) -> DataFrame:
+    """rows (status, next_action): a count of every state, those without a row included."""
+    state = promotion(F.col("status"), F.col("next_action")).alias("state")
+    names = [*PROMOTION.values(), "review"]
+    counts = rows.select(state).agg(*[F.count_if(F.col("state") == n).alias(n) for n in names])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("state"), F.col(n).alias("n")) for n in names])))
+
+
+def choose_queries(candidates: Iterable[tuple[str, str]], most: int) -> list[tuple[str, str]]:
+    """Of (symbol, path) in order at most `most`: first those whose symbol and path are both new, then, if that is too few, those whose symbol is. Holds what it chooses and as many candidates for the second pass."""
+    chosen: list[tuple[str, str]] = []
+    later: list[tuple[str, str]] = []
+    symbols, paths, kept = set(), set(), set()
+    for symbol, path in candidates:
+        if len(chosen) >= most:
+            break
+        if symbol in symbols:
+            continue
+        if path in paths:
+            if symbol not in kept and len(later) < most:
+                later.append((symbol, path))
+                kept.add(symbol)
+            continue
+        chosen.append((symbol, path))
+        symbols.add(symbol)
+        paths.add(path)
+    for symbol, path in later:
+        if len(chosen) < most and symbol not in symbols:
+            chosen.append((symbol, path))
+            symbols.add(symbol)
+    return chosen
+
+
+def profile_matrix(profiles: dict[str, DataFrame]) -> DataFrame:
+    """A row of metrics a profile."""
+    out = None
+    for name, m in profiles.items():
+        row = m.select(F.lit(name).alias("profile"), *m.columns)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: Settings of ranking that a tuning run tries.
+PRESETS = {
+    "base": {},
+    "symbol_focus": {"symbol_exact_boost": 3.0, "symbol_prefix_boost": 1.5, "code_path_boost": 1.30, "docs_path_penalty": 0.80, "test_path_penalty": 0.90},
+    "code_focus": {"symbol_exact_boost": 2.8, "symbol_prefix_boost": 1.4, "code_path_boost": 1.40, "docs_path_penalty": 0.70, "test_path_penalty": 0.85, "topn_bm25": 30.0, "topn_vector": 30.0},
+}
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    """(preset, setting, value); base has none."""
+    return spark.createDataFrame([(p, k, float(v)) for p, own in PRESETS.items() for k, v in own.items()], "preset string, setting string, value double")
+
+
+def exposition(histograms: DataFrame, name: str, by: str) -> DataFrame:
+    """(by, text): a histogram as metrics text, from (by, le, cumulative) of histogram(): a line a bucket, then that without a bound and the count."""
+    tag = F.concat(F.lit(f'{name}_bucket{{{by}="'), F.col(by), F.lit('",le="'))
+    line = F.concat(tag, F.col("le").cast("string"), F.lit('"} '), F.col("cumulative").cast("string"))
+    rows = histograms.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("le", line.alias("s")))).alias("rows"), F.max("cumulative").cast("string").alias("total"))  # a row a bucket
+    last = F.concat(tag, F.lit('+Inf"} '), F.col("total"), F.lit(f'\n{name}_count{{{by}="'), F.col(by), F.lit('"} '), F.col("total"))
+    return rows.select(by, F.concat(F.lit(f"# TYPE {name} histogram\n"), F.array_join(F.transform("rows", lambda r: r["s"]), "\n"), F.lit("\n"), last).alias("text"))
+
+
+def hit_ratio(hits: Column, misses: Column) -> Column:
+    """0 where there was no request."""
+    return F.when(hits + misses == 0, 0.0).otherwise(F.round(hits / (hits + misses), 6))
+
+
+def write_report(report: DataFrame, path: str, stamp: str | None = None) -> None:
+    """One JSON file under path, the latest, and a copy under history/<stamp> if asked for."""
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/latest")  # a report is a few rows
+    if stamp:
+        report.coalesce(1).write.mode("errorifexists").json(f"{path}/history/{stamp}")
+
+
 def nearest_rank(values: DataFrame, by: str, value: str, ps: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """The values at places round((n - 1) * p) and the maximum. Distinct values are counted first, so a common one is one row."""
     counts = values.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
@@ -76,11 +191,18 @@ def complete_nights(runs: DataFrame, required: list[str]) -> DataFrame:
 
 
 def coverage(candidates: DataFrame, seen: DataFrame) -> DataFrame:
-    """candidates (key, priority), seen (key, ts): status and bucket; an exact key covers, else a key above it."""
-    exact = seen.groupBy("key").agg(F.max("ts").alias("exact_ts"))
-    above = seen.groupBy(F.col("key").alias("top")).agg(F.max("ts").alias("above_ts"))
-    out = candidates.join(exact, "key", "left").join(above, F.substring_index("key", "/", 1) == F.col("top"), "left")
-    return out.select("key", F.when(F.col("exact_ts").isNotNull(), "covered").when(F.col("above_ts").isNotNull(), "covered_by_parent").otherwise("uncovered").alias("status"), F.when(F.col("priority") >= 3, "high").when(F.col("priority") == 2, "medium").otherwise("low").alias("bucket"))
+    """candidates (key, priority), seen (key, ts): status, representative and bucket. A key covers itself, else the deepest key above it covers it, and that is its representative."""
+    known = seen.groupBy(F.col("key").alias("at")).agg(F.max("ts").alias("ts"))
+    parts = F.split("key", "/")
+    up = candidates.select("key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("depth", "at"))
+    cover = up.join(known, "at").groupBy("key").agg(F.max_by("at", "depth").alias("representative"))
+    out = candidates.join(cover, "key", "left")
+    status = F.when(F.col("representative") == F.col("key"), "covered").when(F.col("representative").isNotNull(), "covered_by_parent").otherwise("uncovered")
+    return out.select("key", status.alias("status"), "representative", F.when(F.col("priority") >= 3, "high").when(F.col("priority") == 2, "medium").otherwise("low").alias("bucket"))
+
+
+def coverage_counts(covered: DataFrame) -> DataFrame:
+    return covered.groupBy("status", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def identity_dedupe(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def pin_sessions(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """Tables in immutable folders index_version=N below root, and a manifest whose replacement by rename publishes a version."""
+    """Tables in immutable folders index_version=N below root, and numbered manifests. A manifest is written under another name and renamed to the next free number, and readers take the greatest: nothing that a reader may need is ever deleted or replaced, and of two writers that race for a number one fails."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -48,10 +49,15 @@ class SnapshotStore:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _numbers(self) -> list[int]:
+        found = self._fs.globStatus(self._path("manifest-*.json"))
+        return sorted(int(f.getPath().getName()[len("manifest-") : -len(".json")]) for f in found or [])
+
     def manifest(self) -> dict:
-        if not self._fs.exists(self._path("manifest.json")):
+        numbers = self._numbers()
+        if not numbers:
             return {"active": None, "versions": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifest.json").collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifest-{numbers[-1]:010d}.json").collect()))
 
     def stage(self, tables: dict[str, DataFrame], embedder: str = "md5-hash-384") -> int:
         """Writes the tables of a new version and returns its number; no reader sees them yet."""
@@ -72,12 +78,16 @@ class SnapshotStore:
         self._put(m)
 
     def _put(self, m: dict) -> None:
-        temporary = self._path("manifest.json.new")
+        number = max([0, *self._numbers()]) + 1
+        temporary, name = self._path(f".manifest-{uuid.uuid4().hex}"), self._path(f"manifest-{number:010d}.json")
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps(m).encode()))
         out.close()
-        self._fs.delete(self._path("manifest.json"), False)
-        self._fs.rename(temporary, self._path("manifest.json"))
+        if self._fs.exists(name) or not self._fs.rename(temporary, name):
+            self._fs.delete(temporary, False)
+            raise RuntimeError(f"another writer has put manifest {number}")
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/index_version={version or self.manifest()['active']}")
+        """A table of a version, by default the active one, with the column index_version: only that version's folder is read."""
+        wanted = version or self.manifest()["active"]
+        return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}/index_version={wanted}").withColumn("index_version", F.col("index_version").cast("long"))

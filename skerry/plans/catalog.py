@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import chunk, evaluate, policy, rank, rollup, snapshot
+from ..scratch import new_path
 from ..sources.corpus import AS_OF_MS, corpus_files, first_seen, list_children, raw_lookup, table
 from ..streaming import changes
-from .search import hybrid_search, keyed, with_intents
+from .index import corpus_index, keyed
+from .search import full_text, hybrid_search, with_intents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +28,12 @@ DOMAIN_ROWS = [("d0", "src0", "trusted", 10), ("d1", "src1", "untrusted", 5), ("
 BAD_ROWS = [*DOMAIN_ROWS, ("d0", "src9", "trusted", 1), ("", "src8", "odd", 1), ("x", "", "trusted", -1), ("y", "a/../b", "trusted", 1), ("z", "src2", "trusted", 1)]
 
 
+#: Queries that full text answers from some paths alone.
+PUSHED = ((20, "the of .sh"), (21, "and .sh"), (22, "that powershell"))
+#: Queries beside the benchmark's items in the hybrid search: symbols, one with blanks around it, pushed-down paths.
+MORE = (4, 16, 11, 2, 9, 15)
+
+
 def query(f):
     QUERIES[f.__name__.removeprefix("q_")] = f
     return f
@@ -41,9 +49,9 @@ def passages(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
 
 
 def expected(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, path): the files that hold the first 60 characters of an item. A batch of queries is small beside a corpus."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("needle"))
-    return corpus_files(spark, sf).join(F.broadcast(b), F.contains(F.replace("content", F.lit("\n\n"), F.lit("\n")), F.col("needle"))).select("query_id", "path")
+    """(query_id, path): the files that hold a sentence of 40 characters or more of an item."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", r"\. ")).alias("needle")).filter("length(needle) >= 40")
+    return rank.holding(corpus_files(spark, sf).select(F.replace("content", F.lit("\n\n"), F.lit("\n")).alias("content"), "path"), "content", b)
 
 
 @query
@@ -79,7 +87,7 @@ def q_path_classes(s, d):
 
 @query
 def q_size_filter(s, d):
-    return corpus_files(s, d).filter(F.shiftright("size_bytes", 12) > 1).select("path", "size_bytes")
+    return corpus_files(s, d).filter(~policy.fits(F.col("size_bytes") * 500, 1)).select("path", "size_bytes")
 
 
 @query
@@ -158,11 +166,87 @@ def q_secret_scan(s, d):
     return policy.secret_scan(corpus_files(s, d))
 
 
+@query
+def q_contains_secret(s, d):
+    return policy.contains_secret(corpus_files(s, d))
+
+
+@query
+def q_redact_hits(s, d):
+    hits = rank.literal_search(corpus_files(s, d), passages(s, d, 3), 10)
+    return policy.redact(hits, [], DENY)
+
+
+@query
+def q_virtual_paths(s, d):
+    return corpus_files(s, d).select("path", policy.virtual_path(F.col("domain_id"), F.col("path"), True).alias("virtual"), policy.virtual_path(F.col("domain_id"), F.lit(""), True).alias("top"), policy.virtual_path(F.col("domain_id"), F.col("path"), False).alias("single"))
+
+
+@query
+def q_resolve_virtual(s, d):
+    """Files by names below d0, whose documents another domain owns, and below a domain that isn't there."""
+    f = corpus_files(s, d).select(F.concat(F.when(F.col("domain_id") == "src0", "d0/").when(F.col("domain_id") == "src1", "d1docs/").otherwise("none/"), F.expr("substring(path, instr(path, '/') + 1)")).alias("path"))
+    return policy.resolve_virtual(f.unionByName(s.createDataFrame([("d0/../x",), ("d2",), ("/d2/a\\b/",)], "path string")), policy.domains(s, DOMAIN_ROWS))
+
+
+PLAN = [("d0", "src0", "trusted", ["docs/**"], ["*.bin"]), ("d1", "src1", "untrusted", [], None), ("d2", "src2", "odd", ["/abs/*", " ", "a/../b"], ["**/*.tmp", "C:\\x"]), ("d3", "src3", "trusted", None, [])]
+
+
+@query
+def q_domain_patterns(s, d):
+    plan = s.createDataFrame(PLAN, "domain_id string, root string, trust_label string, allow array<string>, deny array<string>")
+    e = policy.effective(plan, ["src/**"], ["**/*.tmp"], ["trusted", "untrusted"])
+    return e.select("domain_id", F.array_join("allow", "|").alias("allow"), F.array_join("deny", "|").alias("deny"), "inherits_allow", "priority_class")
+
+
+@query
+def q_pattern_violations(s, d):
+    plan = s.createDataFrame(PLAN, "domain_id string, root string, trust_label string, allow array<string>, deny array<string>")
+    return policy.pattern_violations(policy.effective(plan, [], ["**/*.tmp"], ["trusted", "untrusted"]))
+
+
+@query
+def q_domain_counts(s, d):
+    """How many domains have a budget, and how many are trusted."""
+    return policy.domains(s, DOMAIN_ROWS).agg(F.count_if(F.col("budget") > 0).alias("budgeted"), F.count_if(F.col("trust_label") == "trusted").alias("trusted"), F.count(F.lit(1)).alias("domains"))
+
+
+@query
+def q_scan_targets(s, d):
+    rows = [("d0", ["docs/**", "src/*.rs", "docs/a.md"]), ("d1", ["**/*.md"]), ("d2", ["a/**/b", "a", "x/y/z"]), ("d3", []), ("d4", ["*.md", "lib"])]
+    return s.createDataFrame([(i, *t) for i, p in rows for t in policy.scan_targets(p, i, 1, {"lib"})], "domain_id string, path string, recursive boolean, priority int")
+
+
 @query
 def q_entropy_tokens(s, d):
     return policy.entropy_tokens(corpus_files(s, d), least=3.0)
 
 
+@query
+def q_fnv_hash(s, d):
+    return corpus_files(s, d).select("path", T.fnv1a64(F.col("path")).alias("inode"))
+
+
+@query
+def q_slugs(s, d):
+    return literals(s).unionByName(s.createDataFrame([(90, " -- "), (91, "Ä b__C")], "query_id long, query string")).select("query_id", T.slug(F.col("query")).alias("slug"), T.normalize_spaces(F.col("query")).alias("normal"), T.cache_key(F.col("query"), F.lit(2), F.lit(3)).alias("key"))
+
+
+@query
+def q_lower_distinct(s, d):
+    return literals(s).select("query_id", F.array_join(T.lower_distinct(T.symbol_variants(F.col("query"))), "|").alias("variants"))
+
+
+@query
+def q_hit_paths(s, d):
+    return q_render_hits(s, d).select("query_id", F.posexplode(T.hit_paths(F.col("markdown"))).alias("place", "path"))
+
+
+@query
+def q_text_samples(s, d):
+    return chunk.text_samples(corpus_files(s, d), 200).select("path", "place", F.md5("sample").alias("hash"))
+
+
 @query
 def q_default_query(s, d):
     lines = F.slice(F.split("content", "\n"), 1, 25)
@@ -221,7 +305,7 @@ def q_mine_symbols(s, d):
 
 @query
 def q_hash_embed(s, d):
-    return chunk.hash_embed(corpus_files(s, d).filter("length(content) < 400"), "path", "content").select("path", "bucket", F.round("weight", 6).alias("weight"))
+    return chunk.hash_embed(corpus_files(s, d), "path", "content").select("path", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query
@@ -261,35 +345,38 @@ def q_adaptive_limits(s, d):
     return q.select("query_id", "symbol_hits", "bm25_hits", "docs_hint", T.bm25_limit().alias("bm25_n"), v.alias("vector_n"))
 
 
+def _symbols(s, d):
+    return corpus_index(s, d).read("symbols").drop("index_version")
+
+
 @query
 def q_symbol_exact(s, d):
-    return rank.symbol_exact(chunk.extract_symbols(corpus_files(s, d)), literals(s))
+    return rank.symbol_exact(_symbols(s, d), literals(s))
 
 
 @query
 def q_symbol_prefix(s, d):
-    return rank.symbol_prefix(chunk.extract_symbols(corpus_files(s, d)), literals(s))
+    return rank.symbol_prefix(_symbols(s, d), literals(s))
 
 
-def _bm25(s, d, queries, where="true"):
-    return rank.bm25(keyed(chunk.chunks_all(corpus_files(s, d).filter(where))), queries)
+@query
+def q_bm25_variants(s, d):
+    return passages(s, d).unionByName(literals(s).withColumn("query_id", F.col("query_id") + 100000)).select("query_id", F.array_join(T.bm25_variants(F.col("query")), "|").alias("variants"))
 
 
 @query
 def q_bm25_topk(s, d):
-    return _bm25(s, d, literals(s))
+    return full_text(corpus_index(s, d), literals(s))
 
 
 @query
 def q_bm25_passages(s, d):
-    return _bm25(s, d, passages(s, d))
+    return full_text(corpus_index(s, d), passages(s, d))
 
 
 @query
 def q_bm25_path_filtered(s, d):
-    q = with_intents(literals(s).unionByName(s.createDataFrame([(20, "the of .sh")], "query_id long, query string"))).filter("is_command").select("query_id", F.lit("the of").alias("query"))
-    files = corpus_files(s, d).withColumn("path", F.replace("path", F.lit("_1.md"), F.lit("_1.sh.md"))).filter("path like 'scripts/%' or path like '%/scripts/%' or path like '%.ps1' or path like '%.sh' or path like '%.bat'")
-    return rank.bm25(keyed(chunk.chunks_all(files)), q)
+    return full_text(corpus_index(s, d), with_intents(literals(s).unionByName(s.createDataFrame(list(PUSHED), "query_id long, query string"))), pushdown=True)
 
 
 @query
@@ -297,13 +384,15 @@ def q_literal_search(s, d):
     return rank.literal_search(corpus_files(s, d), passages(s, d, 8))
 
 
+@query
+def q_literal_search_any_case(s, d):
+    return rank.literal_search(corpus_files(s, d), passages(s, d, 4).withColumn("query", F.translate("query", T.LOWER, T.UPPER)), ignore_case=True)
+
+
 @query
 def q_cosine_topk(s, d):
-    e = table(s, d, "embeddings")
-    q = F.broadcast(e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # ten queries
-    dots = e.join(q).select("query_id", "vec_id", F.round(rank.dot(F.col("embedding"), F.col("q")), 5).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return dots.withColumn("rank", F.row_number().over(w)).filter("rank <= 20")
+    e = table(s, d, "embeddings").filter("embedding is not null")
+    return rank.cosine_topk(e.select(F.col("vec_id").cast("string").alias("key"), "embedding"), e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")).select("query_id", F.col("key").cast("long").alias("vec_id"), "score", "rank")
 
 
 @query
@@ -315,8 +404,7 @@ def q_vec_pad_truncate(s, d):
 
 @query
 def q_vector_search(s, d):
-    chunks = keyed(chunk.chunks_all(corpus_files(s, d)))
-    return rank.vector_search(chunk.hash_embed(chunks, "key", "content"), chunk.hash_embed(passages(s, d, 12), "query_id", "query"), 10)
+    return rank.nearest(corpus_index(s, d).read("vectors"), rank.packed(chunk.hash_embed(passages(s, d, 12), "query_id", "query"), "query_id"), 10)
 
 
 # Fusion and priors
@@ -342,8 +430,8 @@ def q_dedupe_by_path(s, d):
 
 
 def _pairs(s, d):
-    """Every twentieth file with every literal query: sixteen queries."""
-    return corpus_files(s, d).filter("doc_id % 20 < 10").select("path", "modified_unix_ms").join(F.broadcast(with_intents(literals(s))))
+    """Every file with every literal query: sixteen queries."""
+    return corpus_files(s, d).select("path", "modified_unix_ms").join(F.broadcast(with_intents(literals(s))))
 
 
 @query
@@ -369,25 +457,26 @@ def q_intent_priors(s, d):
 
 @query
 def q_priors(s, d):
-    return _pairs(s, d).select("query_id", "path", F.round(rank.prior(F.col("query"), F.col("path"), F.col("modified_unix_ms"), AS_OF_MS), 5).alias("prior"))
+    return _pairs(s, d).select("query_id", "path", F.round(rank.prior(F.col("query"), F.col("path"), F.col("modified_unix_ms"), AS_OF_MS), 10).alias("prior"))
 
 
 @query
 def q_symbol_fast_path(s, d):
     q = with_intents(literals(s)).filter("is_symbol")
-    hits = rank.symbol_exact(chunk.extract_symbols(corpus_files(s, d)), q, 50).withColumnRenamed("rank", "nth").join(q.select("query_id", "query"), "query_id")
+    hits = rank.symbol_exact(_symbols(s, d), q, 50).withColumnRenamed("rank", "nth").join(q.select("query_id", "query"), "query_id")
     hits = hits.withColumn("score", F.round(rank.EXACT_BOOST * rank.path_prior(F.col("path")), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "nth")
     return rank.dedupe_by_path(hits.withColumn("position", F.row_number().over(w))).select("query_id", "path", "rank", "score")
 
 
 def _both(s, d):
-    return passages(s, d).unionByName(literals(s).filter("query_id in (4, 16, 11)").withColumn("query_id", F.col("query_id") + 100000))
+    more = literals(s).filter(F.col("query_id").isin(*MORE)).unionByName(s.createDataFrame(list(PUSHED), "query_id long, query string"))
+    return passages(s, d).unionByName(more.withColumn("query_id", F.col("query_id") + 100000))
 
 
 @query
 def q_hybrid_search(s, d):
-    return hybrid_search(corpus_files(s, d), _both(s, d))
+    return hybrid_search(corpus_index(s, d), _both(s, d), deny=DENY, allow_hidden=False)
 
 
 def _first(s, d, hits):
@@ -410,9 +499,10 @@ def q_eval_metrics_micro(s, d):
     return evaluate.metrics(_first(s, d, rank.literal_search(corpus_files(s, d), passages(s, d, 3), 10)))
 
 
-def _two(s, d):
-    ours = _first(s, d, _bm25(s, d, passages(s, d)).select("query_id", F.regexp_replace("key", ":.*$", "").alias("path"), "rank"))
-    theirs = _first(s, d, rank.literal_search(corpus_files(s, d), passages(s, d, 3), 3))
+def _two(s, d, most=3):
+    store = corpus_index(s, d)
+    ours = _first(s, d, full_text(store, passages(s, d)).join(store.read("chunks").select("key", "path"), "key").select("query_id", "path", "rank"))
+    theirs = _first(s, d, rank.literal_search(corpus_files(s, d), passages(s, d, 3), most))
     return ours, theirs
 
 
@@ -499,8 +589,11 @@ def q_publish_snapshot(s, d):
 
 @query
 def q_snapshot_read(s, d):
-    a, b = _versions(s, d)
-    return snapshot.read_version(a.unionByName(b), 2).select("path", "file_hash")
+    """Two published versions; the read of the first prunes the second."""
+    store = snapshot.SnapshotStore(s, new_path(s, "versions"))
+    for version in _versions(s, d):
+        store.publish(store.stage({"files": version.drop("index_version")}))
+    return store.read("files", 2).select("path", "file_hash", "index_version")
 
 
 @query
@@ -524,6 +617,13 @@ def q_session_snapshots(s, d):
     return snapshot.pin_sessions(r, v).select("session", F.unix_micros("ts").alias("ts_us"), "snapshot", "active", "stale")
 
 
+@query
+def q_session_status(s, d):
+    """The last state of each session as a JSON text."""
+    last = q_session_snapshots(s, d).groupBy("session").agg(F.max_by(F.struct("snapshot", "active", "stale", "ts_us"), "ts_us").alias("x")).select("session", "x.*")
+    return last.select("session", F.to_json(F.struct(F.lit("pinned").alias("mode"), "session", F.col("snapshot").alias("snapshot_version"), F.col("active").alias("active_version"), "stale", F.floor(F.col("ts_us") / 1000).alias("last_access_unix_ms"))).alias("status"))
+
+
 # Change streams
 
 
@@ -543,6 +643,12 @@ def q_change_counts(s, d):
     return _counts(s, d)
 
 
+@query
+def q_change_kinds(s, d):
+    e = table(s, d, "events").select("ts", "event_id", F.concat(F.lit("src"), F.pmod("user_id", F.lit(20)).cast("string"), F.lit("/f"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("event_type") == "signup", "Created").when(F.col("event_type") == "error", "removed").otherwise("modified").alias("what"))
+    return changes.kinds(e.withColumn("ts", F.col("event_id"))).select("path", "kind", "n")
+
+
 @query
 def q_reindex_plan(s, d):
     return changes.reindex_plan(_counts(s, d))
@@ -580,6 +686,75 @@ def q_latency_histogram(s, d):
     return evaluate.histogram(_ms(s, d), "event_type", "ms")
 
 
+@query
+def q_latency_sample(s, d):
+    e = table(s, d, "events").select("event_type", "event_id", F.floor(F.col("value") * 10).cast("long").alias("ms"))
+    return evaluate.nearest_rank(evaluate.bounded_sample(e, 50, "event_type", "event_id", "ms"), "event_type", "ms")
+
+
+@query
+def q_soak_gate(s, d):
+    ms = evaluate.nearest_rank(_ms(s, d).withColumn("all", F.lit("all")), "all", "ms")
+    errors = table(s, d, "events").agg(F.count_if(F.col("event_type") == "error").cast("double").alias("value")).select(F.lit("errors").alias("metric"), "value")
+    values = ms.select(F.lit("p95").alias("metric"), F.col("p95").cast("double").alias("value")).unionByName(errors)
+    return evaluate.checked(values, {"p95": 1500.0, "errors": 100.0, "rss_mb": 512.0})
+
+
+@query
+def q_metrics_text(s, d):
+    return evaluate.exposition(evaluate.histogram(_ms(s, d), "event_type", "ms"), "skerry_latency_ms", "event_type")
+
+
+@query
+def q_hit_ratio(s, d):
+    e = table(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("hits"), F.count_if(F.col("event_type") == "click").alias("misses"))
+    return e.select("user_id", evaluate.hit_ratio(F.col("hits"), F.col("misses")).alias("ratio"))
+
+
+@query
+def q_sweep_grid(s, d):
+    """The full-text and the literal backend with three limits each: recall and reciprocal rank."""
+    grid = evaluate.sweep(s, ["bm25", "literal"], [5, 10, 20])
+    ours, theirs = _two(s, d, 20)
+    found = ours.select(F.lit("bm25").alias("backend"), "query_id", "first_rank").unionByName(theirs.select(F.lit("literal").alias("backend"), "query_id", "first_rank"))
+    cut = grid.join(found, "backend").withColumn("first_rank", F.when(F.col("first_rank") <= F.col("top"), F.col("first_rank"))).withColumn("is_symbol", F.lit(False))
+    return evaluate.metrics(cut, "backend", "top").drop("symbol_hit_rate")
+
+
+@query
+def q_sweep_best(s, d):
+    """Of each event type the day and group of users with the most events a user."""
+    e = table(s, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.pmod("user_id", F.lit(4)).alias("part")).agg(F.round(F.count(F.lit(1)) / F.count_distinct("user_id"), 6).alias("throughput"))
+    return evaluate.best_setting(e, ["event_type"], ["day", "part"], "throughput")
+
+
+@query
+def q_promotion_states(s, d):
+    k = F.pmod("doc_id", F.lit(7))
+    names = [*evaluate.PROMOTION, "other", "odd"]
+    rows = table(s, d, "documents").select(F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int")).alias("status"), F.when(k == 6, "query_level_triage").otherwise("none").alias("next_action"))
+    return evaluate.promotion_counts(rows)
+
+
+@query
+def q_presets(s, d):
+    return evaluate.presets(s)
+
+
+@query
+def q_query_chooser(s, d):
+    """Forty symbols to ask for, of different files where there are enough, with sequential ids."""
+    mined = q_mine_symbols(s, d).orderBy("path", "name").select("name", "path")
+    chosen = evaluate.choose_queries(((r.name, r.path) for r in mined.toLocalIterator()), 40)
+    return s.createDataFrame([(f"b{k:02d}", n, p) for k, (n, p) in enumerate(chosen, 1)], "id string, query string, expected_path string")
+
+
+@query
+def q_profile_matrix(s, d):
+    ours, theirs = (evaluate.metrics(x) for x in _two(s, d))
+    return evaluate.profile_matrix({"full_text": ours, "literal": theirs})
+
+
 @query
 def q_slowest_topk(s, d):
     return table(s, d, "events").orderBy(F.desc("value"), "event_id").limit(5).select("event_id", "event_type", "value")
@@ -596,7 +771,7 @@ def q_drift_summary(s, d):
 
 @query
 def q_complete_nights(s, d):
-    e = table(s, d, "events").filter("user_id < 40").select(F.date_format("ts", "yyyy-MM-dd").alias("night"), F.col("event_type").alias("dataset"))
+    e = table(s, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("night"), F.col("event_type").alias("dataset"))
     return evaluate.complete_nights(e, ["click", "view", "signup", "error", "purchase"])
 
 
@@ -607,11 +782,16 @@ def q_latest_per_key(s, d):
 
 @query
 def q_coverage_status(s, d):
-    f = corpus_files(s, d).filter("doc_id % 5 = 1").select(P.directory(F.col("path")).alias("key"), F.pmod("doc_id", F.lit(4)).alias("priority")).groupBy("key").agg(F.max("priority").alias("priority"))
-    seen = s.createDataFrame([("src1/src", 5), ("src1/src", 7), ("src3", 2), ("src5/src", 1)], "key string, ts int")
+    f = corpus_files(s, d).select(P.directory(F.col("path")).alias("key"), F.pmod("doc_id", F.lit(4)).alias("priority")).groupBy("key").agg(F.max("priority").alias("priority"))
+    seen = s.createDataFrame([("src1/src", 5), ("src1/src", 7), ("src3", 2), ("src5/src", 1), ("src2/.github", 3)], "key string, ts int")
     return evaluate.coverage(f, seen)
 
 
+@query
+def q_coverage_counts(s, d):
+    return evaluate.coverage_counts(q_coverage_status(s, d))
+
+
 @query
 def q_identity_dedupe(s, d):
     c = table(s, d, "documents").select(F.sha2("text", 256).alias("identity"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), (F.pmod("doc_id", F.lit(2)) == 1).alias("is_mirror"), F.pmod("doc_id", F.lit(3)).alias("n_files"), F.pmod("doc_id", F.lit(5)).alias("n_code"))
@@ -626,7 +806,7 @@ def q_candidate_select(s, d):
 
 def _suite(s, d):
     w = Window.partitionBy("lang").orderBy("doc_id")
-    return table(s, d, "documents").filter("doc_id % 7 = 0").select(F.col("lang").alias("dataset"), "doc_id", (F.row_number().over(w) - 1).alias("position"))
+    return table(s, d, "documents").select(F.col("lang").alias("dataset"), "doc_id", (F.row_number().over(w) - 1).alias("position"))
 
 
 @query

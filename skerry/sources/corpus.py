@@ -49,6 +49,21 @@ def scan_tree(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_unix_ms"))
 
 
+def load_config(path: str) -> dict:
+    """A TOML configuration, read by the driver."""
+    import tomllib
+
+    with open(path, "rb") as f:
+        return tomllib.load(f)
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """(run_at, file, value) of JSON artifacts below path whose names have a time stamp like 20240131T120000Z; others are left out."""
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), "value")
+    stamp = F.regexp_extract("file", r"([0-9]{8}T[0-9]{6}Z)", 1)
+    return raw.filter(stamp != "").select(F.try_to_timestamp(F.regexp_replace(stamp, "[TZ]", ""), F.lit("yyyyMMddHHmmss")).alias("run_at"), "file", "value")
+
+
 def golden_suites(spark: SparkSession, path: str) -> DataFrame:
     """(dataset_name, id, query, expected_paths, symbol_query) of the suites below path; templates are left out, and a byte order mark is read over."""
     schema = "schema_version long, dataset_name string, queries array<struct<id: string, query: string, expected_paths: array<string>, symbol_query: boolean>>"

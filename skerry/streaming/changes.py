@@ -23,6 +23,13 @@ def change_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("batch", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
+def kinds(events: DataFrame) -> DataFrame:
+    """events: (ts, path, what) with what in created, modified, removed, in any spelling of case. (path, kind, n, last): what a batch leaves to do for each path: nothing for one that was created and removed in it, else its last event; one that was removed and created again is modified."""
+    seen = events.withColumn("what", F.lower("what")).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.min_by("what", F.struct("ts", "what")).alias("first"), F.max_by("what", F.struct("ts", "what")).alias("end"))
+    kind = F.when((F.col("first") == "created") & (F.col("end") == "removed"), "none").when(F.col("end") == "removed", "removed").when(F.col("first") == "created", "created").otherwise("modified")
+    return seen.select("path", kind.alias("kind"), "n", "last")
+
+
 def reindex_plan(counts: DataFrame, threshold: int = BULK, cap: int = CAP) -> DataFrame:
     """Of each batch the paths, most changed first: a batch of at least threshold paths is bulk and only its first cap are hot; others are hot whole."""
     rank = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("n"), "path"))
@@ -32,8 +39,8 @@ def reindex_plan(counts: DataFrame, threshold: int = BULK, cap: int = CAP) -> Da
 
 def phases(plan: DataFrame) -> DataFrame:
     """The phase after each path of a plan is done: hot set while hot paths remain, then backfill."""
-    w = Window.partitionBy("batch").orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
-    left = F.coalesce(F.sum((F.col("lane") == "hot").cast("int")).over(w), F.lit(0))
+    hot, batch = (F.col("lane") == "hot").cast("int"), Window.partitionBy("batch")
+    left = F.sum(hot).over(batch) - F.sum(hot).over(batch.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return plan.withColumn("hot_left", left).withColumn("phase", F.when(F.col("hot_left") > 0, "p1_hotset").otherwise("p3_backfill"))
 
 

@@ -12,7 +12,9 @@ from skerry.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: No row at this scale.
-EMPTY = {"secret_scan", "pending_status"}
+EMPTY = {"secret_scan", "contains_secret", "pending_status"}
+#: Greedy, in an order of its own; test_units has its cases.
+NO_SQL = {"query_chooser"}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +36,7 @@ def test_equals_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     if name not in ORACLE_SQL:
-        assert name == "hybrid_search" and rows
+        assert name in NO_SQL and rows
         return
     got = con.sql(ORACLE_SQL[name])
     order = sorted(df.columns)

@@ -8,7 +8,7 @@ from skerry.functions import paths as P
 from skerry.functions import text as T
 from skerry.operators import chunk, evaluate, policy, rank, snapshot
 from skerry.plans.search import with_intents
-from skerry.sources.corpus import golden_suites, scan_tree
+from skerry.sources.corpus import golden_suites, history, load_config, scan_tree
 from skerry.streaming import changes
 
 
@@ -118,3 +118,166 @@ def test_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text("﻿" + json.dumps(suite), encoding="utf-8")
     (tmp_path / "t.template.json").write_text(json.dumps(suite))
     assert [tuple(r) for r in golden_suites(spark, str(tmp_path)).collect()] == [("d", "1", "q", ["p"], False)]
+
+
+def test_a_writer_that_stops_leaves_the_published_version(spark, tmp_path):
+    store = snapshot.SnapshotStore(spark, f"file://{tmp_path}/index")
+    a = store.stage({"files": spark.createDataFrame([("x",)], "path string")})
+    store.publish(a)
+    (tmp_path / "index" / ".manifest-broken").write_text('{"active": ')  # what a lost writer leaves
+    assert store.manifest()["active"] == a and store.read("files").columns == ["path", "index_version"]
+    assert len(list((tmp_path / "index").glob("manifest-*.json"))) == 2
+    late = snapshot.SnapshotStore(spark, f"file://{tmp_path}/index")
+    numbers = late._numbers
+    late._numbers = lambda: numbers()[:-1]  # a writer that hasn't seen the last one
+    try:
+        late._put({"active": None, "versions": {}})
+        raise AssertionError("a manifest was replaced")
+    except RuntimeError:
+        assert store.manifest()["active"] == a
+
+
+def test_stale_and_pinned_search(spark, tmp_path):
+    from skerry.plans.index import publish
+    from skerry.plans.search import hybrid_search
+
+    files = lambda *rows: spark.createDataFrame([(p, "d", "trusted", c, "h", 1) for p, c in rows], "path string, domain_id string, trust_label string, content string, file_hash string, modified_unix_ms long")
+    store = snapshot.SnapshotStore(spark, f"file://{tmp_path}/index")
+    publish(store, files(("a.rs", "fn make_it(x)\n"), ("b.md", "old words here\n\nmore old words")))
+    publish(store, files(("a.rs", "fn other(x)\n"), ("b.md", "new words here"), (".c/d.md", "new words"), ("e.rs", "def make_it(y)\n")))
+    q = spark.createDataFrame([(1, "make_it"), (2, "words here"), (3, ""), (4, "old")], "query_id long, query string")
+    now = {(r.query_id, r.path): r for r in hybrid_search(store, q, allow_hidden=False).collect()}
+    then = {(r.query_id, r.path): r for r in hybrid_search(store, q, version=1).collect()}
+    assert {k for k in now if k[0] == 1} == {(1, "e.rs")} and {k for k in then if k[0] == 1} == {(1, "a.rs")}
+    assert "exact-symbol-fast-path" in now[1, "e.rs"].why_selected and now[1, "e.rs"].score_symbol == 2.0
+    assert not any(r.stale for r in now.values()) and all(r.stale and r.snapshot_version == 1 and r.active_version == 2 for r in then.values())
+    assert (2, "b.md") in now and not any(p.startswith(".c") for _, p in now) and not any(i == 3 for i, _ in now)
+    assert (4, "b.md") in then and then[4, "b.md"].start_line == 0
+
+
+def test_redaction_keeps_ranks(spark):
+    hits = spark.createDataFrame([(1, 1, "a"), (1, 2, ".git/x"), (1, 3, "b")], "query_id int, rank int, path string")
+    assert [(r.rank, r.path) for r in policy.redact(hits, [], []).orderBy("rank").collect()] == [(1, "a"), (3, "b")]
+
+
+def test_fnv(spark):
+    known = {"": 0xCBF29CE484222325, "a": 0xAF63DC4C8601EC8C, "foobar": 0x85944171F73967E8}
+    for x, h in known.items():
+        assert one(spark, x, T.fnv1a64) % (1 << 64) == h
+
+    def plain(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return h
+
+    for x in ("src/é.rs", "日本", "z" * 300):
+        assert one(spark, x, T.fnv1a64) % (1 << 64) == plain(x.encode())
+
+
+def test_accents_and_variants(spark):
+    assert one(spark, "Őå à Ǆ ﬁ ñandú ẞ", T.search_terms)[:2] == ["oa", "a"]
+    assert one(spark, "Issue_Token", T.bm25_variants) == ["Issue_Token", "Issue Token"]
+    assert one(spark, "ünï x", T.term_sets) == [["uni", "x"], ["n", "x"]]
+    assert one(spark, "  ", T.term_sets) == [] and one(spark, "Éa É", T.embedding_tokens) == ["Éa", "É"]
+    md = "# Search: q\n## 1. `a b.md`\n- score\n##2 `no`\n## none\n## `` x\n## 2. `c`d`"
+    assert one(spark, md, T.hit_paths) == ["a b.md", "c"]
+
+
+def test_holding(spark):
+    rows = spark.createDataFrame([("abcabc", 1), ("xx", 2), (None, 3), ("", 4), ("ABC", 5)], "text string, place int")
+    needles = spark.createDataFrame([(1, "abc"), (2, "bc"), (3, None), (4, ""), (5, "abc")], "query_id int, needle string")
+    plain = lambda fold: {(q, p) for t, p in [("abcabc", 1), ("xx", 2), ("", 4), ("ABC", 5)] for q, n in [(1, "abc"), (2, "bc"), (4, ""), (5, "abc")] if fold(n) in fold(t)}
+    for ignore, fold in ((False, str), (True, str.lower)):
+        for block in (1024, 2):
+            got = rank.holding(rows, "text", needles, ignore, block).collect()
+            assert len(got) == len(set(got)) and {tuple(r) for r in got} == plain(fold)
+    assert rank.holding(rows, "text", needles.limit(0)).count() == 0
+
+
+def test_nearest_equals_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    vec = lambda: sorted(r.sample(range(20), 4))
+    rows = [(f"k{k:03}", vec(), [r.choice([0.5, 0.25, -0.5]) for _ in range(4)]) for k in range(300)] + [("empty", [], [])]
+    qs = [(q, vec(), [1.0, 0.5, 0.5, 0.25]) for q in range(7)]
+    want = set()
+    for q, b, w in qs:
+        scores = sorted((-round(sum(x * dict(zip(b, w, strict=True)).get(k, 0) for k, x in zip(kb, kw, strict=True)), 6), key) for key, kb, kw in rows)
+        want |= {(q, key, -s, n) for n, (s, key) in enumerate(scores[:6], 1) if s < 0}
+    v = spark.createDataFrame(rows, "key string, buckets array<int>, weights array<double>").repartition(5)
+    q = spark.createDataFrame(qs, "query_id long, buckets array<int>, weights array<double>")
+    for block in (1024, 3):
+        assert {tuple(x) for x in rank.nearest(v, q, 6, block).collect()} == want
+    assert rank.nearest(v, q.limit(0), 6).count() == 0 and rank.nearest(v.limit(0), q, 6).count() == 0
+    dense = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [0.5, 0.5])], "key string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, embedding array<float>")
+    assert [(x.key, x.score) for x in rank.cosine_topk(dense, asked, 5).orderBy("rank").collect()] == [("a", 1.0), ("c", 1.0)]
+
+
+def test_masked_mean(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 1.0]], [0])], "t array<array<double>>, m array<int>")
+    assert [r.y for r in df.select(rank.masked_mean(F.col("t"), F.col("m")).alias("y")).collect()] == [[2.0, 3.0], [0.0, 0.0]]
+
+
+def test_scan_targets():
+    t = policy.scan_targets
+    assert t([], "r", 1) == [("r", True, 1)]
+    assert t(["**"], "r", 1, children={"b": True, "A.txt": False}) == [("r/A.txt", False, 1), ("r/b", True, 1)]
+    assert t(["a/**", "a/b.md", "c/*.rs"], "r", 2) == [("r/a/b.md", False, 2), ("r/c", False, 2), ("r/a", True, 2)]
+    assert t(["a/*/b", "c"], "r", 1) == [("r", True, 1)]
+    targets = [("a/b", False, 1), ("a", True, 5), ("c", False, 1), ("c", True, 1), ("d", False, 0)]
+    assert policy.prune_ordered(targets) == [("a", True, 5), ("c", True, 1), ("d", False, 0)] and policy.prune_ordered(targets, 2) == [("a", True, 5), ("c", False, 1)]
+    assert policy.prune_ordered([("c", False, 1), ("c", False, 3)]) == [("c", False, 3)]
+
+
+def test_choose_queries():
+    c = [("a", "p"), ("b", "p"), ("a", "q"), ("c", "q"), ("d", "q"), ("b", "r")]
+    assert evaluate.choose_queries(c, 10) == [("a", "p"), ("c", "q"), ("b", "r"), ("d", "q")]
+    assert evaluate.choose_queries(c, 2) == [("a", "p"), ("c", "q")] and evaluate.choose_queries(c, 0) == []
+
+    def plain(candidates, most):
+        out, symbols, paths = [], set(), set()
+        for new_path in (True, False):
+            for s, p in candidates:
+                if len(out) < most and s not in symbols and not (new_path and p in paths):
+                    out.append((s, p))
+                    symbols.add(s)
+                    paths.add(p)
+        return out
+
+    import random
+
+    r = random.Random(2)
+    for _ in range(300):
+        c = [(r.choice("abcdef"), r.choice("pqr")) for _ in range(r.randint(0, 14))]
+        for most in range(7):
+            assert evaluate.choose_queries(c, most) == plain(c, most), (c, most)
+
+
+def test_config_history_and_reports(spark, tmp_path):
+    (tmp_path / "c.toml").write_text("[a]\nb = [1, 2]\n")
+    assert load_config(str(tmp_path / "c.toml")) == {"a": {"b": [1, 2]}}
+    report = spark.createDataFrame([("recall", 0.5)], "metric string, value double")
+    out = str(tmp_path / "reports")
+    evaluate.write_report(report, out)
+    evaluate.write_report(report, out, "20240131T120000Z")
+    assert spark.read.json(f"{out}/latest").first().value == 0.5 and spark.read.json(f"{out}/history/20240131T120000Z").count() == 1
+    (tmp_path / "h").mkdir()
+    for name in ("run_20240131T120000Z.json", "latest.json"):
+        (tmp_path / "h" / name).write_text('{"x": 1}')
+    got = history(spark, str(tmp_path / "h")).collect()
+    assert [(str(r.run_at), r.file, r.value) for r in got] == [("2024-01-31 12:00:00", "run_20240131T120000Z.json", '{"x": 1}')]
+
+
+def test_phases_count_down(spark):
+    df = spark.createDataFrame([("x", f"p{k}", 10 - k) for k in range(6)], "batch string, path string, n long")
+    got = changes.phases(changes.reindex_plan(df, 3, 2)).orderBy("rank").collect()
+    assert [(r.hot_left, r.phase) for r in got] == [(1, "p1_hotset")] + [(0, "p3_backfill")] * 5
+
+
+def test_change_kinds(spark):
+    rows = [(1, "a", "Created"), (2, "a", "modified"), (1, "b", "created"), (2, "b", "REMOVED"), (1, "c", "modified"), (2, "c", "removed"), (1, "d", "removed"), (2, "d", "created")]
+    got = {r.path: r.kind for r in changes.kinds(spark.createDataFrame(rows, "ts int, path string, what string")).collect()}
+    assert got == {"a": "created", "b": "none", "c": "removed", "d": "modified"}

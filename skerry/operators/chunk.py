@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.paths import file_type
 from ..functions.text import embedding_tokens, trimmed
@@ -93,3 +96,29 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFram
     counts = rows.select(key, F.explode(embedding_tokens(F.col(text))).alias("t")).groupBy(key, bucket(F.col("t"), dim).alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+
+
+def embed(rows: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], dim: int, batch: int = 64) -> DataFrame:
+    """(key, embedding): unit vectors of dim numbers by a model, which each worker loads once and calls with `batch` texts at a time; longer vectors are cut, shorter ones filled with zeros, before they are normalised. A null text has no vector, nor has one whose vector is all zeros."""
+    import pyarrow as pa
+
+    kind = rows.schema[key].dataType
+
+    def run(batches):
+        import numpy as np
+
+        model = load()
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch).filter(b.slice(at, batch).column(1).is_valid())
+                if not part.num_rows:
+                    continue
+                out = np.zeros((part.num_rows, dim), np.float32)
+                for row, v in zip(out, model(part.column(1).to_pylist()), strict=True):
+                    v = np.asarray(v, np.float32)[:dim]
+                    row[: len(v)] = v
+                norm = np.linalg.norm(out, axis=1)
+                some = np.flatnonzero(norm > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(list(out[some] / norm[some, None]), pa.list_(pa.float32()))], [key, "embedding"])
+
+    return rows.select(key, text).mapInArrow(run, StructType([StructField(key, kind), StructField("embedding", ArrayType(FloatType()))]))

@@ -138,6 +138,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 20, block: int = 10
     return _top(found, n, F.desc("score"), F.asc("key"))
 
 
+def pool(vectors: DataFrame, n: int) -> DataFrame:
+    """The candidates that a bounded search scores: the first max(50 n, 500) by key. nearest() over all vectors is exact."""
+    return vectors.orderBy("key").limit(max(50 * n, 500))
+
+
+def baseline_targets(targets: list[str], root: str) -> list[str]:
+    """Where the literal search looks: the domains' targets if there are 1 to 32, else the root."""
+    return targets if 1 <= len(targets) <= 32 else [root]
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
     """nearest() over sparse vectors (key, bucket, weight) and (query_id, bucket, weight)."""
     return nearest(packed(vectors, "key"), packed(queries, "query_id"), n)

@@ -167,7 +167,7 @@ DENY = r"regexp_matches(path, '^.*/build/.*$|^(.*/)?.*_7.*\.txt$')"
 ALLOW = r"regexp_matches(path, '^.*/docs/.*$|^.*/src/.*\.rs$|^.*/tests/.*$|^.*/notes/.*\.txt$|^src1/.*$')"
 HIDDEN = r"regexp_matches(path, '(^|/)\s*\.')"
 VERS = "v1 AS (SELECT path, file_hash, CAST(1 AS BIGINT) AS index_version FROM cf WHERE doc_id % 3 <> 0), v2 AS (SELECT path, sha256(file_hash || 'v2') AS file_hash, CAST(2 AS BIGINT) AS index_version FROM cf WHERE doc_id % 2 = 0)"
-CNT = "cn AS (SELECT strftime(ts, '%Y-%m-%d') AS batch, 'src' || CAST(user_id % 20 AS VARCHAR) || '/f' || CAST(user_id AS VARCHAR) AS path, count(*) AS n FROM events GROUP BY ALL), pl AS (SELECT batch, path, n, CAST(rank AS INTEGER) AS rank, total >= 80 AS bulk, CASE WHEN total < 80 OR rank <= 32 THEN 'hot' ELSE 'deferred' END AS lane FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY n DESC, path) AS rank, count(*) OVER (PARTITION BY batch) AS total FROM cn))"
+CNT = "cn AS (SELECT batch, path, count(*) AS n FROM (SELECT strftime(ts, '%Y-%m-%d') AS batch, 'src' || CAST(user_id % 20 AS VARCHAR) || '/f' || CAST(user_id AS VARCHAR) AS path FROM events) WHERE NOT starts_with(path, 'src7/') AND NOT regexp_matches(path, '^(.*/)?f.*13$') GROUP BY ALL), pl AS (SELECT batch, path, n, CAST(rank AS INTEGER) AS rank, total >= 80 AS bulk, CASE WHEN total < 80 OR rank <= 32 THEN 'hot' ELSE 'deferred' END AS lane FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY n DESC, path) AS rank, count(*) OVER (PARTITION BY batch) AS total FROM cn))"
 MS = "ms AS (SELECT event_type, CAST(floor(value * 10) AS BIGINT) AS ms FROM events)"
 RUNS = "rn AS (SELECT event_type AS dataset, strftime(ts, '%Y%m%d') AS run, round(avg(value), 6) AS delta FROM events GROUP BY ALL)"
 FTYPES = f"dft AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dir ORDER BY n DESC, file_type) AS INTEGER) AS rank FROM (SELECT dir, {FT} AS file_type, count(*) AS n FROM up GROUP BY ALL)) WHERE rank <= 5)"
@@ -206,7 +206,7 @@ ORACLE_SQL: dict[str, str] = {
     "overlap_pairs": f"WITH {DOM} SELECT a.domain_id AS a_id, b.domain_id AS b_id FROM sch a, sch b WHERE a.schedule_rank < b.schedule_rank AND (a.root = b.root OR starts_with(a.root, b.root || '/') OR starts_with(b.root, a.root || '/'))",
     "prune_targets": f"WITH {CF}, t0 AS (SELECT {fill(DIR, p='path')} AS path FROM cf), t AS (SELECT path, length(path) % 2 = 0 AS recursive, 1 AS priority FROM t0 UNION ALL SELECT 'src1', TRUE, 2 UNION ALL SELECT 'src2', FALSE, 3), m AS (SELECT path, bool_or(recursive) AS recursive, max(priority) AS priority FROM t GROUP BY path) SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m c WHERE c.recursive AND starts_with(m.path, c.path || '/'))",
     "domain_budget": f"WITH {CF}, s AS (SELECT domain_id, path, size_bytes * 500 // 1048576 <= 1 AS fits FROM cf), b AS (SELECT *, coalesce(sum(CAST(fits AS INTEGER)) OVER (PARTITION BY domain_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM s) SELECT domain_id, path, CASE WHEN bef >= 20 THEN 'domain_budget_capped' WHEN NOT fits THEN 'too_large' ELSE 'indexed' END AS parse_status FROM b",
-    "schedule_order": f"WITH {CF}, {DOM}, r AS (SELECT split_part(root, '/', 1) AS domain_id, min(schedule_rank) AS r FROM sch GROUP BY 1) SELECT domain_id, r, path, CAST(row_number() OVER (PARTITION BY domain_id ORDER BY modified_unix_ms DESC, path) AS INTEGER) AS place FROM cf JOIN r USING (domain_id)",
+    "schedule_order": f"WITH {CF}, {DOM}, r AS (SELECT split_part(root, '/', 1) AS domain_id, min(schedule_rank) AS r FROM sch GROUP BY 1) SELECT hot, domain_id, r, path, CAST(row_number() OVER (PARTITION BY hot, domain_id ORDER BY path) AS INTEGER) AS place FROM (SELECT *, modified_unix_ms >= {AS_OF_MS - 24 * 3600000} AS hot FROM cf) JOIN r USING (domain_id)",
     "trust_counts": f"WITH {CF} SELECT dir, trust_label, count(*) AS n FROM (SELECT unnest({ABOVE}) AS dir, trust_label FROM cf) GROUP BY ALL",
     "trust_levels": "SELECT label, CASE WHEN lower(label) = 'untrusted' THEN 'untrusted' ELSE 'trusted' END AS ranking, CASE WHEN lower(label) = 'trusted' THEN 'trusted' ELSE 'untrusted' END AS guard FROM (VALUES ('trusted'), ('Untrusted'), ('workspace_default'), ('TRUSTED')) t(label)",
     "secret_scan": f"WITH {CF} SELECT path FROM cf WHERE {SECRET}",
@@ -240,6 +240,7 @@ ORACLE_SQL: dict[str, str] = {
     "cosine_topk": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.v, q.v), 6) AS score FROM e, e q WHERE q.vec_id % 100 = 0) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 20",
     "vec_pad_truncate": "SELECT vec_id, CAST(100 AS INTEGER) AS n_long, round(list_sum(embedding::DOUBLE[]), 4) AS sum_long, CAST(16 AS INTEGER) AS n_short, round(list_sum((embedding::DOUBLE[])[1:16]), 4) AS sum_short FROM embeddings WHERE embedding IS NOT NULL",
     "vector_search": f"WITH {CF}, {fill(PASS, n=12)}, {CHUNKS}, {fill(EMB, name='ce', key='key', text='content', src='chunks')}, {fill(EMB, name='qe', key='query_id', text='query', src='pas')}, s AS (SELECT qe.key AS query_id, ce.key, round(sum(ce.weight * qe.weight), 6) AS score FROM ce JOIN qe USING (bucket) GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 10",
+    "vector_pool": f"WITH {CF}, {fill(PASS, n=12)}, {CHUNKS}, {fill(EMB, name='ce', key='key', text='content', src='chunks')}, {fill(EMB, name='qe', key='query_id', text='query', src='pas')}, s AS (SELECT qe.key AS query_id, ce.key, round(sum(ce.weight * qe.weight), 6) AS score FROM (SELECT * FROM ce WHERE key IN (SELECT DISTINCT key FROM ce ORDER BY key LIMIT 500)) ce JOIN qe USING (bucket) GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 10",
     "rrf_fuse": f"WITH {CF}, {LISTS} SELECT * FROM rf",
     "dedupe_by_path": f"WITH {CF}, {LISTS}, o AS (SELECT *, {fill(DIR, p='key')} AS path, row_number() OVER (PARTITION BY query_id ORDER BY score_rrf DESC, key) AS pos FROM rf), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY pos) AS nth FROM o) WHERE nth = 1) SELECT * FROM (SELECT query_id, path, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS rank, score_rrf FROM f) WHERE rank <= 5",
     "path_prior": f"WITH {CF} SELECT path, round({PRIOR}, 6) AS prior FROM cf",

@@ -145,9 +145,11 @@ def q_domain_budget(s, d):
 
 @query
 def q_schedule_order(s, d):
+    """Hot files first, those changed last, then by their domain's rank, the domain and path; place counts within hot or not and domain."""
     f = corpus_files(s, d).join(F.broadcast(policy.schedule(policy.domains(s, DOMAIN_ROWS)).groupBy(F.substring_index("root", "/", 1).alias("domain_id")).agg(F.min("schedule_rank").alias("r"))), "domain_id")
-    w = Window.partitionBy("domain_id").orderBy(F.desc("modified_unix_ms"), "path")
-    return f.select("domain_id", "r", "path", F.row_number().over(w).alias("place"))
+    f = f.withColumn("hot", F.col("modified_unix_ms") >= AS_OF_MS - 24 * 3600000)
+    w = Window.partitionBy("hot", "domain_id").orderBy("path")
+    return f.select("hot", "domain_id", "r", "path", F.row_number().over(w).alias("place")).orderBy(F.desc("hot"), "r", "domain_id", "path")
 
 
 @query
@@ -407,6 +409,12 @@ def q_vector_search(s, d):
     return rank.nearest(corpus_index(s, d).read("vectors"), rank.packed(chunk.hash_embed(passages(s, d, 12), "query_id", "query"), "query_id"), 10)
 
 
+@query
+def q_vector_pool(s, d):
+    vectors = rank.pool(corpus_index(s, d).read("vectors").select("key", "buckets", "weights"), 10)
+    return rank.nearest(vectors, rank.packed(chunk.hash_embed(passages(s, d, 12), "query_id", "query"), "query_id"), 10)
+
+
 # Fusion and priors
 
 
@@ -635,7 +643,7 @@ def q_debounce_sessions(s, d):
 
 def _counts(s, d):
     e = table(s, d, "events")
-    return changes.change_counts(e.select(F.date_format("ts", "yyyy-MM-dd").alias("batch"), F.concat(F.lit("src"), F.pmod("user_id", F.lit(20)).cast("string"), F.lit("/f"), F.col("user_id").cast("string")).alias("path")))
+    return changes.change_counts(e.select(F.date_format("ts", "yyyy-MM-dd").alias("batch"), F.concat(F.lit("src"), F.pmod("user_id", F.lit(20)).cast("string"), F.lit("/f"), F.col("user_id").cast("string")).alias("path")), deny=["src7/**", "**/f*13"])
 
 
 @query

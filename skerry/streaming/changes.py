@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.policy import decide
+
 GAP, BULK, CAP, PENDING = "30 minutes", 80, 32, 20
 
 
@@ -18,9 +20,9 @@ def debounce_stream(events: DataFrame, key: str = "user_id", gap: str = GAP, lat
     return debounce(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), key, gap)
 
 
-def change_counts(events: DataFrame) -> DataFrame:
-    """events: (batch, path): changes of each path in each batch."""
-    return events.groupBy("batch", "path").agg(F.count(F.lit(1)).alias("n"))
+def change_counts(events: DataFrame, allow: list[str] | None = None, deny: list[str] | None = None, allow_hidden: bool = False) -> DataFrame:
+    """events: (batch, path): changes of each path that the policy allows in each batch."""
+    return events.filter(decide(F.col("path"), allow or [], deny or [], allow_hidden)[0]).groupBy("batch", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
 def kinds(events: DataFrame) -> DataFrame:

@@ -281,3 +281,51 @@ def test_change_kinds(spark):
     rows = [(1, "a", "Created"), (2, "a", "modified"), (1, "b", "created"), (2, "b", "REMOVED"), (1, "c", "modified"), (2, "c", "removed"), (1, "d", "removed"), (2, "d", "created")]
     got = {r.path: r.kind for r in changes.kinds(spark.createDataFrame(rows, "ts int, path string, what string")).collect()}
     assert got == {"a": "created", "b": "none", "c": "removed", "d": "modified"}
+
+
+def test_service(spark, tmp_path):
+    from skerry.service import ResultCache, Service, SessionPins
+
+    files = lambda *rows: spark.createDataFrame([(p, "d", "trusted", c, "h", 1) for p, c in rows], "path string, domain_id string, trust_label string, content string, file_hash string, modified_unix_ms long")
+    s = Service(spark, f"file://{tmp_path}/store")
+    assert s.health()["ready"] is False
+    s.build(files(("a/x.md", "alpha words"), ("b.md", "beta words")))
+    assert [r.path for r in s.search("alpha", session="one")][0] == "a/x.md" and s.cache.misses == 1
+    s.build(files(("c.md", "alpha later")))
+    assert s.search("alpha", session="one")[0].stale and s.search("alpha", session="two")[0].path == "c.md"
+    assert not s.search("alpha", session="one", refresh=True)[0].stale
+    assert {r.dir for r in s.map(snapshot=1).collect()} == {".", "a"} and s.map("a", 1).count() == 1
+    assert s.health()["active_version"] == 2 and s.health()["versions"]["1"] == "obsolete"
+    pins = SessionPins(2)
+    assert [pins.resolve(x, v) for x, v in (("a", 1), ("b", 1), ("a", 2), ("c", 2), ("b", 3), ("a", 3))] == [1, 1, 1, 2, 3, 3]
+    assert SessionPins(pinned=False).resolve("a", 4) == 4 and pins.resolve("a", 9, explicit=7) == 7
+    cache = ResultCache(2)
+    for q in "ab":
+        cache.put(q, 1, 1, [q])
+    assert cache.get("a", 1, 1) is None  # the first question after a snapshot empties it
+    cache.put("a", 1, 1, ["a"])
+    assert cache.get("a", 1, 1) == ["a"] and cache.get("a", 2, 2) is None and cache.get("a", 1, 1) is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from skerry.__main__ import main
+
+    (tmp_path / "tree" / "src").mkdir(parents=True)
+    (tmp_path / "tree" / "src" / "a.rs").write_text("fn find_me(x) {\n}\n")
+    (tmp_path / "tree" / "n.md").write_text("notes of the day")
+    store = f"file://{tmp_path}/store"
+    main(["--store", store, "build", str(tmp_path / "tree")])
+    main(["--store", store, "search", "find_me"])
+    main(["--store", store, "health"])
+    built, hit, health = (json.loads(x) for x in capsys.readouterr().out.strip().splitlines())
+    assert built == {"version": 1} and hit["path"] == "src/a.rs" and hit["source"] == "symbol" and health["ready"]
+
+
+def test_embed(spark):
+    def load():
+        return lambda texts: [[3.0, 4.0, 5.0] if t == "a" else [2.0] if t == "b" else [0.0, 0.0] for t in texts]
+
+    df = spark.createDataFrame([("k1", "a"), ("k2", "b"), ("k3", None), ("k4", "z")], "key string, text string")
+    got = {r.key: [round(x, 6) for x in r.embedding] for r in chunk.embed(df, "key", "text", load, 2, 2).collect()}
+    assert got == {"k1": [0.6, 0.8], "k2": [1.0, 0.0]}
+    assert rank.baseline_targets([], "r") == ["r"] and rank.baseline_targets(["a"] * 33, "r") == ["r"] and rank.baseline_targets(["a"], "r") == ["a"]

@@ -1,68 +1,15 @@
-"""Helpers shared by the training-data operators: staged tables, text keys, word splitting and connected components."""
+"""Helpers shared by the training-data operators: word splitting, null-safe joins and connected components; and staged tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import drop_path, new_path, stage, stage_at
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything that is no digit, no letter of ASCII and no character beyond ASCII parts two words.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of an Arrow batch of texts: a bound for memory, not for results.
-BATCH_ROWS = 1000
-
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs on this machine alone."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local") or conf.get("spark.master").startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="skerry-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    return f"file://{root}"
-
-
-def whole_texts(documents: DataFrame) -> DataFrame:
-    """documents, for a Python operator over whole texts: Arrow batches of the session then hold at most BATCH_ROWS rows, in the JVM and in each Python worker."""
-    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return documents
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{work_dir(spark)}/skerry-{name}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    return path
-
-
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: later jobs neither compute it anew nor depend on executors that may be lost, and joins see its true size."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _drop_staged() -> None:
-    for spark, path in _staged:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may have ended; the folder is scratch space
-            return
-
 
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone. Pure ASCII, the common case, takes the fast built-in."""
@@ -82,26 +29,40 @@ def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     return out
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _scratch(df: DataFrame, name: str, made: list[str]) -> DataFrame:
+    made.append(new_path(df.sparkSession, name))
+    return stage_at(df, made[-1])
+
+
+def _large_star(edges: DataFrame, made: list[str]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
+    least = _scratch(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star", made)
     return both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, made: list[str]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    least = stage(down.groupBy("u").agg(F.min("v").alias("m")), "star")
+    least = _scratch(down.groupBy("u").agg(F.min("v").alias("m")), "star", made)
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Alternating large-star and small-star over edges (u, v): returns (u, v), one row for each node that isn't the smallest of its component, with that smallest node as v. Each step is a staged table, so that no lineage grows, and each hub's rows can be split among tasks, because the table of minima that they meet holds one row a node."""
-    edges = stage(edges.select("u", "v").filter("u <> v"), "edges")
+    """Alternating large-star and small-star over edges (u, v): returns (u, v), one row for each node that isn't the smallest of its component, with that smallest node as v. Each step is a staged table, dropped when the round after it ends, so that no lineage grows, and each hub's rows can be split among tasks, because the table of minima that they meet holds one row a node."""
+    spark, made = edges.sparkSession, []
+    edges = _scratch(edges.select("u", "v").filter("u <> v"), "edges", made)
     before = None
     while True:
-        edges = stage(_small_star(stage(_large_star(edges), "large")), "small")
+        old, made = made, []
+        edges = _scratch(_small_star(_scratch(_large_star(edges, made), "large", made), made), "small", made)
         mark = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
+        for path in old:
+            drop_path(spark, path)
         if (mark.n, mark.s) == before or not mark.n:
+            for path in made[:-1]:
+                drop_path(spark, path)
             return edges
         before = (mark.n, mark.s)
+
+
+__all__ = ["ascii_lower", "components", "drop_path", "new_path", "same", "stage", "words"]

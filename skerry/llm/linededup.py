@@ -1,10 +1,14 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
-LineRuns is the store: a batch's line hashes are counted (partially before the shuffle, so a line that a third of all documents hold is one row a task), anti-joined with the runs for the lines that those have settled already, and written as a new run of level 0, in range partitions sorted by hash; FANOUT runs of a level are merged into one of the next level. The hash is 64 bits wide and only proposes lines: every line whose hash is frequent is then counted by document under a hash of 128 bits.
+LineRuns is the store: a batch's line hashes are counted (partially before the shuffle, so a line that a third of all documents hold is one row a task), merge-anti-joined with each run for the lines that it has settled already, and written as a new run of level 0; FANOUT runs of a level are merged into one of the next level. A run is dealt to buckets by hash and sorted within each, one file a bucket, and all runs of a store have the same buckets: so a batch is shuffled once, to those buckets, and neither a run that it is joined with nor runs that are merged are shuffled or sorted again. The hash is 64 bits wide and only proposes lines: every line whose hash is frequent is then counted by document under a hash of 128 bits.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,43 +16,77 @@ from .common import ascii_lower, drop_path, new_path, same, stage
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 3
 SPACE = " \t\n\x0b\f\r"
+#: Lets Spark rely on the order within a bucket that is one file.
+SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextlib.contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SORTED_SCANS)
+    spark.conf.set(SORTED_SCANS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SORTED_SCANS, before)
 
 
 class LineRuns:
-    """Runs of (k1 long, n long): line hashes and how many rows held them, at least `settled` rows counting as settled. Each run is a Parquet folder in the shared directory, sorted by k1; a run is complete once it is in self.levels, so a batch whose job fails leaves the store as it was and can be added again."""
+    """Runs of (k1 long, n long): line hashes and how many rows held them, at least `settled` rows counting as settled. Each run is a bucketed table in the shared directory; a run is complete once it is in self.levels, so a batch whose job fails leaves the store as it was and can be added again."""
 
     def __init__(self, spark: SparkSession, settled: int = MIN_DOCS, fanout: int = FANOUT):
         self.spark, self.settled, self.fanout = spark, settled, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("k1 long, n long").parquet(*paths) if paths else self.spark.createDataFrame([], "k1 long, n long")
+        self._paths: dict[str, str] = {}
 
     def _write(self, run: DataFrame, level: int) -> None:
+        name = f"skerry_run_{uuid.uuid4().hex}"
         path = new_path(self.spark, f"run{level}")
-        run.sortWithinPartitions("k1").write.parquet(path)
+        with _sorted_scans(self.spark):
+            run.write.bucketBy(self.buckets, "k1").sortBy("k1").option("path", path).saveAsTable(name)
+        self._paths[name] = path
         self.levels += [[] for _ in range(level + 1 - len(self.levels))]
-        self.levels[level].append(path)
-
-    def runs(self) -> DataFrame:
-        return self._read([p for level in self.levels for p in level])
+        self.levels[level].append(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(self.spark, self._paths.pop(name))
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """(k1, n) over runs, n added up: of buckets with the same number, so nothing is shuffled."""
+        if not names:
+            return self.spark.createDataFrame([], "k1 long, n long")
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            out = out.unionByName(self.spark.table(name))
+        return out.groupBy("k1").agg(F.sum("n").alias("n"))
+
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """(k1, n): the counts of a batch (column k1, a row for each line) without the lines that a run has settled."""
+        out = batch.groupBy("k1").agg(F.count(F.lit(1)).alias("n"))
+        for name in (x for level in self.levels for x in level):
+            settled = self.spark.table(name).filter(F.col("n") >= self.settled).select(F.col("k1").alias("settled"))
+            out = out.join(settled.hint("merge"), (F.col("k1") == F.col("settled")) & (F.col("n") > 0), "left_anti")  # naming n keeps the join above the counting
+        return out
 
     def add(self, batch: DataFrame) -> None:
-        """batch: column k1, a row for each line. Lines that a run has settled add nothing new, so a merge join drops them."""
-        counts = batch.groupBy("k1").agg(F.count(F.lit(1)).alias("n"))
-        if any(self.levels):
-            counts = counts.join(self.runs().filter(F.col("n") >= self.settled).select("k1").hint("merge"), "k1", "left_anti")
-        self._write(counts, 0)
+        self._write(self.unsettled(batch), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._write(self._read(old).groupBy("k1").agg(F.sum("n").alias("n")), level + 1)
-            for p in old:
-                drop_path(self.spark, p)
+            self._write(self._merged(old), level + 1)
+            for name in old:
+                self._drop(name)
             level += 1
 
     def frequent(self) -> DataFrame:
-        return self.runs().groupBy("k1").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.settled).select("k1")
+        """(k1) of the lines that at least `settled` rows of the batches so far held."""
+        return self._merged([x for level in self.levels for x in level]).filter(F.col("n") >= self.settled).select("k1")
+
+    def close(self) -> None:
+        for name in [x for level in self.levels for x in level]:
+            self._drop(name)
+        self.levels = []
 
 
 def _lines(c: Column) -> Column:
@@ -66,19 +104,22 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     rows = rows.select("doc_id", "th", "pos", key.alias("key")).filter(F.char_length("key") >= min_chars).withColumn("key", ascii_lower(F.col("key")))
     rows = stage(rows.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"), "doc_id", "th", "pos", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")), "lines", ("batch",))
     store = LineRuns(spark, min_docs)
-    for b in range(batches):
-        store.add(rows.filter(F.col("batch") == b).select("k1"))
-    often = stage(store.frequent(), "frequent")
+    try:
+        for b in range(batches):
+            store.add(rows.filter(F.col("batch") == b).select("k1"))
+        often = stage(store.frequent(), "frequent")
+    finally:
+        store.close()
     rows = stage(rows.join(often, "k1", "left_semi").select("k1", "k2", "doc_id", "th", "pos"), "candidates")
     owners = rows.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("owner")).filter(F.col("n") >= min_docs)
     owners = stage(owners.select("k1", "k2", "owner"), "owners")
     gone = rows.join(owners, ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "th", "pos").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    docs = documents.select(*names, F.xxhash64("text").alias("__th"), _lines(F.col("text")).alias("__lines"))
+    docs = documents.select(*names, F.xxhash64("text").alias("__th"))
     gone = stage(gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"), F.col("gone").alias("__gone")), "gone")
     docs = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (docs["__th"] == gone["__th2"]), "left")
-    docs = docs.withColumn("__bounds", F.concat(F.array(F.lit(-1)), "__gone", F.array(F.size("__lines"))))
+    docs = docs.withColumn("__lines", _lines(F.col("text"))).withColumn("__bounds", F.concat(F.array(F.lit(-1)), "__gone", F.array(F.size("__lines"))))
     between = lambda i: F.slice("__lines", F.element_at("__bounds", i) + 2, F.element_at("__bounds", i + 1) - F.element_at("__bounds", i) - 1)
     left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size("__bounds") - 1), between)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text")

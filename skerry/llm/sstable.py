@@ -4,7 +4,7 @@ A file is a sequence of blocks, a block index, a Bloom filter and a footer. An e
 
     index at u64 | filter at u64 | filter bits u64 | entries u64 | ids u64 | hashes u32 | magic 8 bytes
 
-A key is a zero byte for a null identifier, or else a byte 1 and the identifier, big-endian with its sign bit flipped, so that keys sort as identifiers do; then comes the number of the row among those of the same identifier, 4 bytes. Spark's writers and readers move the bytes, so files can be in any store that Spark reaches, and a lost task's files are never seen.
+A key is a zero byte for a null identifier, or else a byte 1 and the identifier, big-endian with its sign bit flipped, so that keys sort as identifiers do; then comes the number of the row among those of the same identifier, 4 bytes. Spark's writers and readers move the bytes, so files can be in any store that Spark reaches, and a lost task's files are never seen. Each file is in a folder whose name says its first and last key and its number of ids, so a listing is enough to find the files that a key may be in.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ import bisect
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, whole_texts
+from .common import new_path
 from .tokens import default_vocabulary, encoder
 
-BLOCK_BYTES, FILE_BYTES, BITS_PER_KEY, HASHES = 4096, 16 << 20, 10, 7
+BLOCK_BYTES, FILE_BYTES, PART_BYTES, BITS_PER_KEY, HASHES = 4096, 16 << 20, 256 << 20, 10, 7
 MAGIC = b"SKERRY1\n"  # its line feed is the one that Spark's text writer ends a row with
 FOOTER = struct.Struct("<QQQQQI8s")
 
@@ -138,11 +138,11 @@ class Table:
         for k in range(len(self.blocks)):
             yield from self.block(k)
 
-    def get(self, key: bytes) -> bytes | None:
-        """The value at key: the filter, then a binary search in the index, then one block."""
+    def get(self, key: bytes) -> tuple[int, bytes] | None:
+        """The number of ids and the value at key: the filter, then a binary search in the index, then one block."""
         if not self.n or not self.may_hold(key) or (k := bisect.bisect_left(self.lasts, key)) == len(self.lasts):
             return None
-        return next((bytes(v) for at, _, _, v in self.block(k) if at == key), None)
+        return next(((n, bytes(v)) for at, _, n, v in self.block(k) if at == key), None)
 
 
 def write_tables(documents: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES) -> None:
@@ -153,16 +153,15 @@ def write_tables(documents: DataFrame, path: str, vocabulary: str | None = None,
     import pyarrow as pa
 
     vocabulary = vocabulary or default_vocabulary()
-    spark = documents.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = whole_texts(documents).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    parts = _parts(documents)
+    ordered = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
         import numpy as np
 
         enc, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
         out, last, nth = Writer(), (), 0
-        done = lambda w: pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], ["file"])
+        done = lambda w: pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary()), *[pa.array([_name(k)]) for k in (w.keys[0], w.last)], pa.array([w.ids], pa.int64())], ["file", "first", "last", "ids"])
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
@@ -177,48 +176,57 @@ def write_tables(documents: DataFrame, path: str, vocabulary: str | None = None,
         if out.n:
             yield done(out)
 
-    files = ordered.mapInArrow(run, "file binary")
-    files.select(F.expr("cast(substring(file, 1, length(file) - 1) as string)").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    files = ordered.mapInArrow(run, "file binary, first string, last string, ids long")
+    value = F.expr("cast(substring(file, 1, length(file) - 1) as string)").alias("value")
+    files.select(value, "first", "last", "ids").write.partitionBy("first", "last", "ids").option("maxRecordsPerFile", 1).text(path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
+def _name(key: bytes) -> str:
+    """A key in a folder's name, which sorts as keys do and doesn't look like a number."""
+    return "k" + key.hex()
 
 
-def _tables(batch) -> Iterator[tuple[str, Table]]:
-    for p, c in zip(batch.column(0), batch.column(1), strict=True):
-        data = c.as_buffer().to_pybytes()
-        yield p.as_py(), Table(data if data.endswith(MAGIC) else data[: data.rindex(MAGIC) + len(MAGIC)])
+def _parts(documents: DataFrame) -> int:
+    """Partitions of at most about PART_BYTES of the input as Spark estimates it."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES) if size < 1 << 60 else 1, 1)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame | None:
+    """(content, first, last, ids) of the files: what isn't content comes from the folders' names, so it costs no reading. None if there is no file."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("content", "first", "last", "ids") if "first" in files.columns else None
+
+
+def _table(content) -> Table:
+    data = content.as_buffer().to_pybytes()
+    return Table(data if data.endswith(MAGIC) else data[: data.rindex(MAGIC) + len(MAGIC)])
+
+
+ENTRIES = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 
 def read_tables(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids binary as unsigned 32-bit little-endian) of each entry, without the last if not asked for; start counts the ids of all entries of all files before it. Files are ordered by their first keys, and their totals, a row a file, are summed by the driver."""
+    """(doc_id, start, n_tokens, ids_crc32, ids binary as unsigned 32-bit little-endian) of each entry, without the last if not asked for; start counts the ids of all entries of all files before it. Files are ordered by their first keys; their totals, a row a file, are summed in one window and meet the entries in a join."""
     import pyarrow as pa
 
-    def totals(batches):
-        for b in batches:
-            rows = [(p, next(iter(t))[0].hex(), t.ids) for p, t in _tables(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["path", "first", "ids"])
-
-    files = sorted((r.first_key, r.path, r.ids) for r in _files(spark, path).mapInArrow(totals, "path string, first string, ids long").withColumnRenamed("first", "first_key").collect())
-    before, at = {}, 0
-    for _, p, n in files:
-        before[p] = at
-        at += n
-    starts = spark.sparkContext.broadcast(before)
+    files = _files(spark, path)
+    if files is None:
+        return spark.createDataFrame([], ENTRIES).select(*[x.split()[0] for x in ENTRIES.split(", ")][: 4 + with_ids])
+    names = ["first", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"][: 5 + with_ids]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 5 + with_ids]
 
     def entries(batches):
         import zlib
 
         import numpy as np
 
-        names, types = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 4 + with_ids]
         for b in batches:
-            for p, table in _tables(b):
-                first, cols, size = starts.value[p], [[] for _ in names], 0
-                for key, ids_before, n, value in table:
+            for content, first in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                cols, size = [[] for _ in names], 0
+                for key, ids_before, n, value in _table(content):
                     ids = bytes(value) if len(value) == 4 * n else np.frombuffer(value, "<u2").astype("<u4").tobytes()
-                    for c, x in zip(cols, (id_of(key), first + ids_before, n, zlib.crc32(ids), ids)[: 4 + with_ids], strict=True):
+                    for c, x in zip(cols, (first, id_of(key), ids_before, n, zlib.crc32(ids), ids)[: 5 + with_ids], strict=True):
                         c.append(x)
                     size += len(ids)
                     if size > 4 << 20:
@@ -226,26 +234,37 @@ def read_tables(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                         cols, size = [[] for _ in names], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return _files(spark, path).mapInArrow(entries, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    read = files.select("content", "first").mapInArrow(entries, "first string, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = files.select("first", before.cast("long").alias("before"))  # the first keys of files differ
+    return read.join(starts, "first").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the asked documents (first of each identifier), by filter and binary search in each file."""
+    """(doc_id, ids) of the asked documents (first of each identifier). Only files whose keys may include one are read, by the folders' names; in each of them the filter, a binary search of the index and one block answer."""
     import pyarrow as pa
 
     keys = [(d, key_of(d)) for d in sorted(set(doc_ids))]
+    files = _files(spark, path)
+    if files is None or not keys:
+        return spark.createDataFrame([], "doc_id long, ids binary")
+    inside = F.lit(False)
+    for _, key in keys:
+        inside = inside | ((F.col("first") <= _name(key)) & (F.col("last") >= _name(key)))
 
     def run(batches):
         import numpy as np
 
         for b in batches:
-            for _, t in _tables(b):
-                rows = [(d, v) for d, k in keys if (v := t.get(k)) is not None]
-                counts = {k: n for d, k in keys for i in [bisect.bisect_left(t.lasts, k)] if i < len(t.lasts) for at, _, n, _ in t.block(i) if at == k}
-                ids = [np.frombuffer(v, "<u2").astype("<u4").tobytes() if len(v) == 2 * counts[key_of(d)] else v for d, v in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return _files(spark, path).mapInArrow(run, "doc_id long, ids binary")
+            for content in b.column(0):
+                t, rows = _table(content), []
+                for d, key in keys:
+                    if (found := t.get(key)) is not None:
+                        n, value = found
+                        rows.append((d, value if len(value) == 4 * n else np.frombuffer(value, "<u2").astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], ["doc_id", "ids"])
+
+    return files.filter(inside).select("content").mapInArrow(run, "doc_id long, ids binary")
 
 
 def op6_sstable(spark, sf_dir: str) -> DataFrame:

@@ -1,31 +1,63 @@
-"""Near copies by exact Jaccard similarity of word shingles, with prefix filtering.
+"""Links between texts by exact Jaccard similarity of their shingle sets: verification of proposed pairs, and prefix filtering for the pairs that nothing proposes.
 
-Two sets whose similarity is 0.8 or more share one of the first n - ceil(0.8 n) + 1 of their n shingles, in any order that holds for all sets alike. So each text puts out that prefix of its shingles, texts that meet under a shingle are candidates, and each candidate is verified with the whole sets: no pair is missed and none is linked by chance. The order is rare shingles first, as counted on a sample of texts; it decides how many candidates there are, never which pairs are linked.
+Fingerprints of 64 bits can't find all texts of a similarity of 0.8: their fingerprints differ in about 10 bits, and Hamming balls of that radius hold nearly everything. So SimHash proposes what is close, and this module completes it. Two sets whose similarity is s or more share one of the first n - ceil(s n) + 1 of their n shingles, in any order that holds for all sets alike. So each text puts out that prefix of its shingles, and texts that meet under a shingle are candidates. The order is rare shingles first, as counted on a sample of texts; it decides how many candidates there are, never which pairs are linked.
+
+A candidate is dropped by bounds that no similar pair breaks: of the sizes, of the places in the prefixes, and of the Hamming distance of two parity bitmaps, which is never more than the number of shingles that only one set has. What is left is verified with the whole sets.
 
 What is sought are components, so a group of near copies isn't compared in all pairs: the members under a shingle are compared with their most central one first, and then only pairs whose ends no link has joined yet. These are still compared one and all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stage, whole_texts
+from .common import components, stage
+from .shingles import fingerprint, shingle_hashes
 from .tokens import release
 
-SHINGLE = 5
 #: One text in SAMPLE is counted for the order of shingles, all of a small table; FREQUENT are told apart. Neither changes a result.
 SAMPLE, FREQUENT = 16, 200_000
+#: 64-bit words of a parity bitmap.
+WORDS = 16
+
+
+def text_key(c: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(c, F.lit("")))
 
 
-def _shingles(text: str | None, shingle: int):
-    """The distinct shingles' hashes, ascending, as signed numbers. A text of fewer words is one shingle, and so is one without words."""
+def _set(text: str | None, shingle: int):
+    """The distinct shingles' hashes, ascending, as signed numbers; a text without words has a shingle of its own."""
     import numpy as np
-    import xxhash
 
-    ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(ws[k : k + shingle]), 42) for k in range(max(1, len(ws) - shingle + 1))], np.uint64).view(np.int64))
+    hashes = shingle_hashes(text, shingle)
+    return np.unique(hashes.view(np.int64)) if len(hashes) else np.zeros(1, np.int64)
+
+
+def sketches(documents: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, fp, n, bits) for each row: the text's hash, its fingerprint, the size of its set and the parity, by place, of the set's hashes modulo 64 * WORDS."""
+    import pyarrow as pa
+
+    def run(batches):
+        import numpy as np
+
+        release()
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                fps, ns, bits = [], [], []
+                for t in part.column(2):
+                    hashes = shingle_hashes(t.as_py(), shingle)
+                    own = np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
+                    fps.append(fingerprint(hashes))
+                    ns.append(len(own))
+                    odd = np.bincount((own % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "n", "bits"])
+
+    return documents.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long, n int, bits array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -37,39 +69,46 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                hs = [_shingles(t.as_py(), shingle) for t in part.column(1)]
+                hs = [_set(t.as_py(), shingle) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hs, pa.list_(pa.int64()))], ["key", "hs"])
 
-    return whole_texts(texts).select("key", "text").mapInArrow(run, "key long, hs array<long>")
+    return texts.select("key", "text").mapInArrow(run, "key long, hs array<long>")
 
 
-def _prefixes(texts: DataFrame, shingle: int, known) -> DataFrame:
-    """(h, key, n, pos, central): the shingles by which each text is looked up; central is how frequent its shingles are on average."""
+def _prefixes(texts: DataFrame, shingle: int, s: Fraction, known) -> DataFrame:
+    """(h, key, n, pos, central): the shingles by which each text is looked up; central is how frequent its shingles are on average. A task puts out equal texts once."""
     import pyarrow as pa
 
+    a, b_ = s.numerator, s.denominator
+
     def run(batches):
         import numpy as np
 
         release()
         common, times = known.value
+        seen = set()  # a number a row of the task at most
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 cols = [[], [], [], [], []]
                 for key, t in zip(b.column(0).slice(k, 64).to_pylist(), b.column(1).slice(k, 64), strict=True):
-                    hs = _shingles(t.as_py(), shingle)
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                    hs = _set(t.as_py(), shingle)
                     n = len(hs)
                     often = np.zeros(n, np.int64)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, hs), len(common) - 1)
                         often = np.where(common[at] == hs, times[at], 0)
-                    p = n - (4 * n + 4) // 5 + 1
+                    p = n - (a * n + b_ - 1) // b_ + 1
                     first = hs[np.lexsort((hs, often))[:p]]
                     for c, x in zip(cols, (first, np.full(p, key), np.full(p, n), np.arange(p), np.full(p, often.mean())), strict=True):
                         c.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, kinds, strict=True)], ["h", "key", "n", "pos", "central"])
+                if cols[0]:
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, kinds, strict=True)], ["h", "key", "n", "pos", "central"])
 
-    return whole_texts(texts).select("key", "text").mapInArrow(run, "h long, key long, n int, pos int, central double")
+    return texts.select("key", "text").mapInArrow(run, "h long, key long, n int, pos int, central float")
 
 
 def _frequent(texts: DataFrame, shingle: int):
@@ -82,48 +121,49 @@ def _frequent(texts: DataFrame, shingle: int):
     return np.array([r.h for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a, b = sets.select(F.col("key").alias("u"), F.col("hs").alias("a")), sets.select(F.col("key").alias("v"), F.col("hs").alias("b"))
-    both = pairs.join(b, "v").join(a, "u")
-    return both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
-
-
-def text_key(c: str = "text"):
-    return F.xxhash64(F.coalesce(c, F.lit("")))
-
-
-def links(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Edges (u, v) over text keys with the same components as "Jaccard similarity of the shingle sets is 0.8 or more" has; equal texts share a key. documents needs text."""
-    texts = documents.select(text_key().alias("key"), "text")
-    spark = texts.sparkSession
-    known = spark.sparkContext.broadcast(_frequent(texts, shingle))
+def _possible(pairs: DataFrame, texts: DataFrame, s: Fraction) -> DataFrame:
+    """The distinct pairs (u, v) that sizes and bitmaps, texts(key, n, bits), don't rule out."""
+    for end in ("u", "v"):
+        pairs = pairs.join(texts.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    apart = sum((F.bit_count(F.get("bits_u", k).bitwiseXOR(F.get("bits_v", k))) for k in range(WORDS)), F.lit(0))
+    a, b = s.numerator, s.denominator
+    size = b * F.least("n_u", "n_v").cast("long") >= a * F.greatest("n_u", "n_v")
+    return pairs.filter(size & ((a + b) * apart <= (b - a) * (F.col("n_u").cast("long") + F.col("n_v")))).select("u", "v")
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, shingle: int, s: Fraction) -> DataFrame:
+    """Those of pairs, a staged table, whose texts are similar. Only their texts' sets are made."""
+    keys = stage(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "wanted")
+    sets = stage(_sets(documents.join(keys, "key", "left_semi").dropDuplicates(["key"]), shingle), "sets")
+    for end in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("hs").alias(f"hs_{end}")), end)
+    a, b = s.numerator, s.denominator
+    return pairs.filter((a + b) * F.size(F.array_intersect("hs_u", "hs_v")).cast("long") >= a * (F.size("hs_u").cast("long") + F.size("hs_v"))).select("u", "v")
+
+
+def links(documents: DataFrame, texts: DataFrame, proposed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) over text keys with the same components as "Jaccard similarity of the shingle sets is `similarity` or more" has; equal texts share a key. documents needs text; texts: a row a key with n and bits; proposed: pairs (u, v) of keys that are likely to be similar, in any number."""
+    documents = documents.select(text_key().alias("key"), "text")
+    spark, s = documents.sparkSession, Fraction(str(similarity))
+    a, b = s.numerator, s.denominator
+    known = spark.sparkContext.broadcast(_frequent(documents, shingle))  # FREQUENT rows at most
     under = Window.partitionBy("h")
-    met = _prefixes(texts.dropDuplicates(["key"]), shingle, known)
-    met = met.withColumn("lead", F.max(F.struct("central", "key", "n", "pos")).over(under)).withColumn("least", F.min("key").over(under)).withColumn("most", F.max("key").over(under))
+    met = _prefixes(documents, shingle, s, known).withColumn("lead", F.max(F.struct("central", "key", "n", "pos")).over(under)).withColumn("least", F.min("key").over(under)).withColumn("most", F.max("key").over(under))
     met = stage(met.filter("least <> most").select("h", "key", "n", "pos", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos")), "met")
 
     def near(n, m, p, q):
-        n, m, p, q = (F.col(x) for x in (n, m, p, q))
-        return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - p, m - q) >= 4 * (n + m))
+        n, m, p, q = (F.col(x).cast("long") for x in (n, m, p, q))
+        return (b * F.least(n, m) >= a * F.greatest(n, m)) & ((a + b) * F.least(n - p, m - q) >= a * (n + m))
 
-    keys = met.select("key").distinct()
-    sets = stage(_sets(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]), shingle), "sets")
-    first = met.filter("key <> lead").filter(near("n", "lead_n", "pos", "lead_pos")).select(F.col("lead").alias("u"), F.col("key").alias("v")).distinct()
-    found = stage(_verified(first, sets), "links")
+    first = met.filter("key <> lead").filter(near("n", "lead_n", "pos", "lead_pos")).select(F.col("lead").alias("u"), F.col("key").alias("v"))
+    first = first.unionByName(proposed.select("u", "v")).distinct()
+    found = stage(_verified(stage(_possible(first, texts, s), "first"), documents, shingle, s), "links")
     root = components(found).select(F.col("u").alias("key"), F.col("v").alias("root"))
-    own = stage(met.join(root, "key", "left").select("h", "key", "n", "pos", F.coalesce("root", "key").alias("root")), "own")
+    own = stage(met.join(root, "key", "left").select("h", "key", "n", "pos", F.coalesce("root", "key").alias("root")).distinct(), "own")
     split = own.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("h")
     open_ = stage(own.join(split, "h", "left_semi"), "open")
-    a = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "root")])
-    b = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root")])
-    rest = a.join(b, (a["h"] == b["h"]) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & near("n_a", "n_b", "pos_a", "pos_b"))
-    rest = stage(rest.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct(), "rest")
-    return found.unionByName(_verified(rest, sets))
-
-
-def kept(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, key): of each component of near copies the smallest doc_id and the key of its text. Documents without a doc_id link like any other but aren't chosen."""
-    own = stage(documents.select(F.col("doc_id"), text_key().alias("key")).groupBy("key").agg(F.min("doc_id").alias("doc_id")), "keys")
-    root = components(links(documents, shingle)).select(F.col("u").alias("key"), F.col("v").alias("root"))
-    of = own.join(root, "key", "left").filter("doc_id is not null")
-    return of.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("doc_id", "key")).alias("x")).select("x.*")
+    one = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "root")])
+    two = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root")])
+    rest = one.join(two, (one["h"] == two["h"]) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & near("n_a", "n_b", "pos_a", "pos_b"))
+    rest = rest.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct()
+    return found.unionByName(_verified(stage(_possible(rest, texts, s), "rest"), documents, shingle, s))

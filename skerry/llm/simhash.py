@@ -13,38 +13,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage, whole_texts
+from . import nearcopies
+from .common import components, stage
+from .shingles import fingerprint, shingle_hashes
 from .tokens import release
 
 SHINGLE, MAX_BITS, BUCKET_CAP = 4, 4, 1024
 
 
-def _fingerprint(text: str | None, shingle: int) -> int:
-    import numpy as np
-    import xxhash
-
-    ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes.lower and bytes.split know ASCII alone
-    if not ws:
-        return 0
-    line = b" ".join(ws)
-    sums, n, block = np.zeros(64, np.int64), 0, []
-    if len(ws) <= shingle:
-        block, n = [xxhash.xxh64_digest(line, 42)], 1
-    else:
-        ends, at = [], -1
-        for w in ws:
-            at += len(w) + 1
-            ends.append(at)
-        starts = [0, *[e + 1 for e in ends[:-shingle]]]
-        n, digest = len(starts), xxhash.xxh64_digest
-        for k in range(0, n, 65536):
-            bits = b"".join([digest(line[a:b], 42) for a, b in zip(starts[k : k + 65536], ends[k + shingle - 1 : k + shingle - 1 + 65536], strict=False)])
-            sums += np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    if block:
-        sums += np.unpackbits(np.frombuffer(block[0], np.uint8))
-    return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big", signed=True)
-
-
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long) for each row of documents: the 64 bits as a signed number."""
     import pyarrow as pa
@@ -52,10 +28,10 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches):
         release()
         for b in batches:
-            fps = [_fingerprint(t.as_py(), shingle) for t in b.column(1)]
+            fps = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return whole_texts(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def segments(n: int, max_bits: int) -> list[tuple[int, int, int]]:
@@ -83,9 +59,7 @@ def _mask_table(spark, masks: list[tuple[int, int]]) -> DataFrame:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = BUCKET_CAP) -> DataFrame:
-    """Edges (u, v) with the same components as "differs in at most max_bits bits" has, over the distinct fingerprints fps(fp). max_bits must be even."""
-    if max_bits % 2:
-        raise ValueError("max_bits must be even")
+    """Edges (u, v) with the same components as "differs in at most max_bits bits" has, over the distinct fingerprints fps(fp)."""
     spark = fps.sparkSession
     segs = segments(fps.count(), max_bits)
     parts = F.array(*[F.struct(F.lit(k).alias("seg"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << w) - 1)).alias("val")) for k, (low, w, _) in enumerate(segs)])
@@ -100,24 +74,46 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = BUCKET_CAP) -> Da
     found = a.join(b, (a["seg"] == b["seg"]) & (a["val"] == b["val"]) & (a["u"] < b["v"]) & near).select("u", "v")
     if crowded:
         members = stage(probes.join(full, ["seg", "val"], "left_semi").select("fp").distinct(), "members")
-        points = members.join(_mask_table(spark, [(0, x) for x in _masks(64, max_bits // 2)])).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
-        least = stage(points.groupBy("point").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("point", "v"), "least")
-        found = found.unionByName(points.join(least, "point").select(F.col("fp").alias("u"), "v"))
+        ball = lambda r: members.join(_mask_table(spark, [(0, x) for x in _masks(64, r)])).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
+        points = ball(max_bits // 2)
+        least = stage(points.groupBy("point").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")), "least")
+        found = found.unionByName(points.join(least.filter("n > 1"), "point").select(F.col("fp").alias("u"), "v"))
+        if max_bits % 2:  # of two that differ in an odd number of bits one reaches the point between them with a ball a bit wider
+            found = found.unionByName(ball(max_bits // 2 + 1).join(least, "point").select(F.col("fp").alias("u"), "v"))
     return found.filter("u <> v").distinct()
 
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, cap: int = BUCKET_CAP) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, cap: int = BUCKET_CAP, similarity: float | None = None) -> DataFrame:
     """Returns one row for each row of documents: doc_id, fp (long) and component_id, the smallest doc_id that links reach.
 
     documents needs doc_id (integer) and text. A null, empty or blank text has fingerprint 0, which links like any other; a text of fewer words than a shingle is one shingle. Ties of a bit (half the shingles) are 0. Rows that repeat a doc_id belong to the component of their own text. A null doc_id is never the smallest, and component_id is null only where a component has no doc_id. An empty table gives an empty table; extra columns are left alone.
+
+    With similarity, texts are linked exactly if the Jaccard similarity of their sets of shingles is at least that: what the fingerprints propose is verified with the whole sets, and pairs that no radius of 64 bits can reach are found by nearcopies. The result then has the columns key, the hash of the text, and root, which tells components apart even where rows of different texts share a doc_id; texts without words link with one another alone.
     """
+    if similarity is not None:
+        return _similar(documents, shingle, max_bits, cap, similarity)
     fps = stage(fingerprints(documents, shingle), "fps")
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(distinct.select("fp"), max_bits, cap))
-    own = distinct.join(root.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return _named(fps, distinct, components(links(distinct.select("fp"), max_bits, cap)), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(rows: DataFrame, distinct: DataFrame, root: DataFrame, node: str) -> DataFrame:
+    """rows with component_id and root; distinct: (node, least doc_id), root: (u, v) of components()."""
+    own = distinct.join(root.select(F.col("u").alias(node), F.col("v").alias("root")), node, "left").withColumn("root", F.coalesce("root", node))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = stage(own.join(least, "root").select("fp", "component_id"), "components")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(stage(own.join(least, "root").select(node, "component_id", "root"), "components"), node)
+
+
+def _similar(documents: DataFrame, shingle: int, max_bits: int, cap: int, similarity: float) -> DataFrame:
+    rows = stage(nearcopies.sketches(documents, shingle), "sketches")
+    texts = stage(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("fp", "n", "bits")).alias("s")).select("key", "least", "s.*"), "texts")  # equal texts have equal sketches
+    of = stage(texts.groupBy("fp").agg(F.min("key").alias("first")), "prints")
+    ends = links(of.select("fp"), max_bits, cap)
+    for end in ("u", "v"):
+        ends = ends.join(of.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_key")), end)
+    proposed = ends.select(F.col("u_key").alias("u"), F.col("v_key").alias("v")).unionByName(texts.join(of, "fp").filter("key <> first").select(F.col("first").alias("u"), F.col("key").alias("v")))
+    edges = nearcopies.links(documents, texts.select("key", "n", "bits"), proposed, shingle, similarity)
+    return _named(rows.select("doc_id", "key", "fp"), texts.select("key", "least"), components(edges), "key").select("doc_id", "fp", "component_id", "key", "root")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import decontaminate, langid, linededup, nearcopies, packing
+from skerry.llm import decontaminate, langid, linededup, nearcopies, packing, simhash
 from skerry.llm.common import same, stage
 
+#: What the near-duplicate stage takes.
+SHINGLE, SIMILARITY = 5, 0.8
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that have a (doc_id, key) of gone; the null doc_id is a value like others. gone is staged, so that the join's kind follows its true size."""
+    keyed, gone = docs.withColumn("__key", nearcopies.text_key()), stage(gone.select("doc_id", "key"), "gone")
+    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["__key"] == gone["key"]), "left_anti").select(*docs.columns)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go: those without a letter, and those far from every language's centroids."""
-    judged = stage(langid.identify(docs.select("doc_id", F.col("text")), langid.fit(docs)), "languages")
-    gone = judged.filter("rejected").select("doc_id").distinct()
-    return docs.join(gone, same(docs, gone, "doc_id"), "left_anti")
+    """Documents that the classifier rejects go: those without a letter, and those far from every language's centroids. Rows are judged one by one, by their text."""
+    judged = langid.identify(docs.withColumn("key", nearcopies.text_key()), langid.fit(docs), keep=("key",))
+    return _without(docs, judged.filter("rejected").select("doc_id", "key").distinct())
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,18 +31,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose five-word shingles have a Jaccard similarity of 0.8 or more are linked. Of each group the one with the smallest doc_id stays, once if its row repeats; documents without a doc_id can't be told apart and stay."""
-    found = stage(nearcopies.kept(docs), "kept")
-    keyed = docs.filter("doc_id is not null").withColumn("key", nearcopies.text_key())
-    named = keyed.join(found, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id is null"))
+    """Documents whose five-word shingles have a Jaccard similarity of 0.8 or more are linked. Of each group one stays, that with the smallest doc_id, of texts that share it that of the smallest hash; rows that repeat it, doc_id and text, stay once. Documents without a doc_id can't be told apart and stay."""
+    found = stage(simhash.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY).filter("doc_id is not null"), "similar")
+    rows = found.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("root", "first.*")
+    gone = rows.join(kept, same(rows, kept, "root", "doc_id", "key"), "left_anti")
+    twice = stage(rows.join(kept, same(rows, kept, "root", "doc_id", "key"), "left_semi").filter("n > 1").select("doc_id", "key"), "twice")
+    if twice.isEmpty():
+        return _without(docs, gone)
+    once = docs.withColumn("key", nearcopies.text_key()).join(twice, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(*docs.columns)
+    return _without(docs, gone.select("doc_id", "key").unionByName(twice)).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Rows are judged one by one, by their text."""
     judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = stage(judged.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, same(docs, gone, "doc_id"), "left_anti")
+    return _without(docs, judged.filter("contaminated").select("doc_id", F.col("text_key").alias("key")).distinct())
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

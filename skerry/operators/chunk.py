@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
@@ -91,11 +91,20 @@ def bucket(token: Column, dim: int = DIM) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
 
 
+def _bucket_counts(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+    return rows.select(key, F.explode(embedding_tokens(F.col(text))).alias("t")).groupBy(key, bucket(F.col("t"), dim).alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """Sparse unit vectors: (key, bucket, weight), weights the token counts of a bucket over their norm."""
-    counts = rows.select(key, F.explode(embedding_tokens(F.col(text))).alias("t")).groupBy(key, bucket(F.col("t"), dim).alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return _bucket_counts(rows, key, text, dim).select(key, "bucket", (F.col("n") / norm).alias("weight"))
+
+
+def hash_embed_packed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """The same, a row a vector: (key, buckets, weights)."""
+    v = _bucket_counts(rows, key, text, dim).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("v"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))  # at most dim buckets
+    return v.select(key, F.col("v.bucket").alias("buckets"), F.transform("v.n", lambda n: n / F.col("norm")).alias("weights"))
 
 
 def embed(rows: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], dim: int, batch: int = 64) -> DataFrame:

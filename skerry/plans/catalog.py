@@ -406,13 +406,13 @@ def q_vec_pad_truncate(s, d):
 
 @query
 def q_vector_search(s, d):
-    return rank.nearest(corpus_index(s, d).read("vectors"), rank.packed(chunk.hash_embed(passages(s, d, 12), "query_id", "query"), "query_id"), 10)
+    return rank.nearest(corpus_index(s, d).read("vectors"), chunk.hash_embed_packed(passages(s, d, 12), "query_id", "query"), 10)
 
 
 @query
 def q_vector_pool(s, d):
     vectors = rank.pool(corpus_index(s, d).read("vectors").select("key", "buckets", "weights"), 10)
-    return rank.nearest(vectors, rank.packed(chunk.hash_embed(passages(s, d, 12), "query_id", "query"), "query_id"), 10)
+    return rank.nearest(vectors, chunk.hash_embed_packed(passages(s, d, 12), "query_id", "query"), 10)
 
 
 # Fusion and priors

@@ -29,7 +29,7 @@ def tables(files: DataFrame) -> dict[str, DataFrame]:
         "postings": postings,
         "stats": stats,
         "symbols": chunk.extract_symbols(files),
-        "vectors": rank.packed(chunk.hash_embed(chunks, "key", "content"), "key"),
+        "vectors": chunk.hash_embed_packed(chunks, "key", "content"),
     }
 
 

@@ -59,7 +59,7 @@ def candidates(store: SnapshotStore, queries: DataFrame, version: int) -> DataFr
     flag = lambda c: F.coalesce(c, F.lit(False))
     limit = vector_limit(F.size(overlap_terms(F.col("query"))), flag(F.col("symbol_hits")), flag(F.col("bm25_hits")), flag(F.col("docs_hint")))
     open_ = stage(q.join(facts, "query_id", "left").select("query_id", "query", limit.alias("vector_n")).filter("vector_n is not null"), "open")
-    asked = rank.packed(chunk.hash_embed(open_, "query_id", "query"), "query_id")
+    asked = chunk.hash_embed_packed(open_, "query_id", "query")
     near = rank.nearest(store.read("vectors", version), asked, rank.MOST).join(open_.select("query_id", "vector_n"), "query_id").filter("rank <= vector_n")
     vector = near.join(chunks, "key").select("query_id", F.lit(3).alias("list"), "rank", "path", "start_line", "end_line", "score", none)
     return found.unionByName(vector)

@@ -54,8 +54,8 @@ def test_warc_round_trip(spark):
         owner[h or ""] = max(owner.get(h or "", -1), -1 if i is None else i)
     seen = Counter()
     for r in got:
-        page = re.search(r"page-id: (\d*)", r.metadata.fields)[1]
-        assert r.request.concurrent_to == r.metadata.concurrent_to == r.capture.record_id
+        page = re.search(r"page-id: (\d*)", r.metadata[0].fields)[1]
+        assert r.requests[0].concurrent_to == r.metadata[0].concurrent_to == [r.capture.record_id]
         seen[page, r.capture.record_type, r.capture.payload_digest] += 1
         if r.capture.record_type == "response":
             assert hashlib.sha1(r.capture.payload).digest() == base64.b32decode(r.capture.payload_digest)
@@ -67,20 +67,78 @@ def test_warc_round_trip(spark):
     assert {r.capture.refers_to.split(":")[2] for r in got if r.capture.record_type == "revisit"} == {"7", "4"}
 
 
-def test_warc_orphans_and_empty(spark):
-    rows = [("request", "r1", "gone"), ("metadata", "m1", "gone"), ("response", "a", None)]
-    df = spark.createDataFrame(rows, "record_type string, record_id string, concurrent_to string")
+def records(spark, rows):
     from pyspark.sql import functions as F
 
+    df = spark.createDataFrame(rows, "record_type string, record_id string, concurrent_to array<string>")
     for c in warc.RECORDS.split(", ")[3:]:
         df = df.withColumn(c.split()[0], F.lit(None).cast(c.split()[1]))
-    got = {r.capture_id: r for r in warc.assemble(df).collect()}
-    assert got["gone"].capture is None and got["gone"].n_requests == 1 and got["a"].request is None
+    return df
+
+
+def test_warc_orphans_and_empty(spark):
+    rows = [("request", "r1", ["gone"]), ("metadata", "m1", ["gone"]), ("response", "a", []), ("warcinfo", "w", [])]
+    got = {r.capture_id: r for r in warc.assemble(records(spark, rows)).collect()}
+    assert got["gone"].capture is None and got["gone"].n_requests == 1 and got["a"].requests == [] and len(got) == 2
     path = new_path(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.assemble(warc.read_records(spark, path)).count() == 0
 
 
+def test_warc_links_in_both_directions_and_over_steps(spark):
+    rows = [
+        ("request", "q1", []), ("response", "p1", ["q1", "m1"]), ("metadata", "m1", None),  # the response names the others
+        ("request", "q2", ["p2"]), ("response", "p2", []), ("metadata", "m2", ["q2"]), ("metadata", "n2", ["m2", "q2"]),  # metadata of the request
+        ("request", "q3", ["x", "p3"]), ("response", "p3", []), ("conversion", "c3", ["p3"]),  # the first value names nothing that is there
+        ("response", "p4", ["p5"]), ("revisit", "p5", []), ("request", "q4", ["p4"]), ("request", "q4", ["p4"]),
+        ("response", "p6", []), ("response", "p6", []),
+        ("response", None, None), ("request", None, None),
+    ]
+    got = defaultdict(list)
+    for r in warc.assemble(records(spark, rows)).collect():
+        got[r.capture and r.capture.record_id].append((sorted(x.record_id for x in r.requests), sorted(x.record_id for x in r.metadata), [x.record_id for x in r.others], r.n_requests))
+    assert got["p1"] == [(["q1"], ["m1"], [], 1)]
+    assert got["p2"] == [(["q2"], ["m2", "n2"], [], 1)]
+    assert got["p3"] == [(["q3"], [], ["c3"], 1)]
+    assert got["p4"] == got["p5"] == [(["q4"], [], [], 2)]
+    assert got["p6"] == [([], [], [], 0)] * 2
+    assert got[""] == [([""], [], [], 1)] and None not in got
+
+
+def test_warc_members_repeated_headers_and_broken():
+    import gzip
+
+    head = b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nX: one\r\n two\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
+    bodies = [b"", b"x" * 5, b"\r\n\r\n", random.Random(1).randbytes(300_000), b"last"]
+    parts = [head % (len(x), x) for x in bodies]
+    for data in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts)), gzip.compress(parts[0] + parts[1][:90]) + gzip.compress(parts[1][90:]) + gzip.compress(b"".join(parts[2:])) + gzip.compress(b"")):
+        got = [(h, bytes(b)) for h, b in warc.parse(data)]
+        assert [b for _, b in got] == bodies
+        assert all(h["warc-concurrent-to"] == ["<a>", "<b>"] and h["x"] == ["one two"] for h, _ in got)
+        for cut in (len(data) - 9, len(data) // 2):
+            with pytest.raises(ValueError):
+                list(warc.parse(data[:cut]))
+
+
+def test_warc_files_are_bounded_and_members_are_records(spark):
+    import zlib
+
+    r = random.Random(8)
+    pages = spark.createDataFrame([(k, "http://a/", r.randbytes(3000).hex()) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "test-warc")
+    warc.write_archives(pages, path, file_bytes=40_000)
+    files = [bytes(f.content) for f in spark.read.format("binaryFile").load(path).collect() if f.length]
+    assert len(files) > 3 and max(map(len, files)) < 50_000
+    n = 0
+    for data in files:
+        while data:
+            d = zlib.decompressobj(31)
+            one = d.decompress(data)
+            assert d.eof and len(list(warc.parse(one))) == 1
+            n, data = n + 1, d.unused_data
+    assert n == 180
+
+
 def test_decontaminate(spark, texts, docs):
     r = random.Random(2)
     long = words(texts[20][1])
@@ -259,7 +317,7 @@ def test_sstable_filter_and_index():
     for k in range(0, 4000, 2):
         w.add(sstable.key_of(k), b"v%d" % k, 1)
     t = sstable.Table(w.finish())
-    assert len(t.blocks) > 3 and all(t.get(sstable.key_of(k)) == b"v%d" % k for k in range(0, 4000, 2))
+    assert len(t.blocks) > 3 and all(t.get(sstable.key_of(k)) == (1, b"v%d" % k) for k in range(0, 4000, 2))
     assert all(t.get(sstable.key_of(k)) is None for k in range(1, 4000, 2))
     assert sum(t.may_hold(sstable.key_of(k)) for k in range(1, 4000, 2)) < 100
 

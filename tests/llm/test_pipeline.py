@@ -3,7 +3,8 @@
 import pytest
 
 import corpus_pipeline
-from test_operators import SF, check_packed, components, fingerprint, ids_of, words
+from test_findings import similar
+from test_operators import SF, check_packed, components, ids_of, words
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +22,8 @@ def test_stages(spark, kept):
     (start, known, deduped, distinct, clean), last = kept
     assert len(known) >= 0.97 * len(start)
     assert {r.doc_id for r in deduped} == {r.doc_id for r in known}
-    fps = {r.doc_id: fingerprint(r.text) for r in deduped}
-    of = components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    texts = {r.doc_id: r.text or "" for r in deduped}
+    of = components(list(texts), lambda a, b: similar(texts[a], texts[b]))
     assert {r.doc_id for r in distinct} == set(of.values())
     wins = {tuple(w[k : k + 10]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in [words(r.text)] for k in range(len(w) - 9)}
     dirty = {r.doc_id for r in distinct for w in [words(r.text)] if any(tuple(w[k : k + 10]) in wins for k in range(len(w) - 9))}

@@ -5,6 +5,7 @@ Four transducers rewrite a text where it is disguised, and keep for each charact
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import DataFrame
@@ -93,28 +94,58 @@ _ADDRESS = re.compile(
 
 
 class Rewrite:
-    """A text with the source span of each of its characters; `spans` is None while they are the characters themselves."""
+    """A text and the source span that each of its characters stands for.
+
+    The way back is kept by stretches, not by characters: starts[k] is where stretch k begins in the text, and its characters stand for the source characters from source_at[k] on, one for one, or, if whole_end[k] isn't 0, each for the whole span from source_at[k] to whole_end[k]. Memory and time follow the number of edits.
+    """
 
     def __init__(self, text: str):
-        self.text, self.spans = text, None
+        self.text, self.starts, self.source_at, self.whole_end = text, [0], [0], [0]
+        self.edited = False
 
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
         """Puts out, for each (start, end, new), ascending, new in place of the characters from start to end. Each new character stands for the whole of them, unless they are as many: then one for one."""
         if not edits:
             return
-        old = self.spans or [(k, k + 1) for k in range(len(self.text))]
-        out, spans, at = [], [], 0
+        old = (self.starts, self.source_at, self.whole_end)
+        starts, source_at, whole_end = [], [], []
+        out, at, size, k = [], 0, 0, 0
+
+        def keep(a: int, b: int) -> None:
+            """The way back of the old characters from a to b, for the next b - a new ones."""
+            nonlocal size, k
+            while a < b:
+                while k + 1 < len(old[0]) and old[0][k + 1] <= a:
+                    k += 1
+                stop = min(b, old[0][k + 1]) if k + 1 < len(old[0]) else b
+                source = old[1][k] + (0 if old[2][k] else a - old[0][k])
+                if not (starts and not old[2][k] and not whole_end[-1] and source == source_at[-1] + size - starts[-1]):
+                    starts.append(size)
+                    source_at.append(source)
+                    whole_end.append(old[2][k])
+                size += stop - a
+                a = stop
+
         for a, b, new in edits:
+            keep(at, a)
             out += [self.text[at:a], new]
-            spans += old[at:a]
-            spans += old[a:b] if len(new) == b - a else [(old[a][0], old[b - 1][1])] * len(new)
+            if len(new) == b - a:
+                keep(a, b)
+            elif new:
+                starts.append(size)
+                source_at.append(self.source(a, a + 1)[0])
+                whole_end.append(self.source(b - 1, b)[1])
+                size += len(new)
             at = b
+        keep(at, len(self.text))
         out.append(self.text[at:])
-        spans += old[at:]
-        self.text, self.spans = "".join(out), spans
+        self.text, self.edited = "".join(out), True
+        self.starts, self.source_at, self.whole_end = starts or [0], source_at or [0], whole_end or [0]
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.spans is None else (self.spans[start][0], self.spans[end - 1][1])
+        first, last = bisect.bisect_right(self.starts, start) - 1, bisect.bisect_right(self.starts, end - 1) - 1
+        begin = self.source_at[first] + (0 if self.whole_end[first] else start - self.starts[first])
+        return begin, self.whole_end[last] or self.source_at[last] + end - self.starts[last]
 
 
 def _homoglyphs(text: str) -> list[tuple[int, int, str]]:
@@ -172,14 +203,17 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     """(base spans, added spans), each by kind, then start."""
     base = find(text)
     r = deobfuscate(text)
-    if r.spans is None:
+    if not r.edited:
         return base, []
-    added = []
+    held = {kind: ([s for k, s, _ in base if k == kind], [e for k, _, e in base if k == kind]) for kind in KINDS}  # ascending, and apart from each other
+    added: dict[tuple[str, int, int], None] = {}
     for kind, a, b in find(r.text):
         start, end = r.source(a, b)
-        if not any(k == kind and s <= start and end <= e for k, s, e in base) and (kind, start, end) not in added:
-            added.append((kind, start, end))
-    return base, added
+        starts, ends = held[kind]
+        k = bisect.bisect_right(starts, start) - 1
+        if k < 0 or ends[k] < end:
+            added[kind, start, end] = None
+    return base, list(added)
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -196,13 +230,15 @@ def detect(documents: DataFrame) -> DataFrame:
         import hashlib
 
         for b in batches:
-            cols = [[] for _ in names[1:]]
-            for t in b.column(1):
-                base, added = scan(t.as_py() or "")
-                row = [*[sum(k == kind for k, _, _ in base) for kind in KINDS], len(added), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added)]
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64() if k < 5 else pa.string()) for k, c in enumerate(cols)]], names)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                cols = [[] for _ in names[1:]]
+                for t in part.column(1):
+                    base, added = scan(t.as_py() or "")
+                    row = [*[sum(k == kind for k, _, _ in base) for kind in KINDS], len(added), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added)]
+                    for c, x in zip(cols, row, strict=True):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64() if k < 5 else pa.string()) for k, c in enumerate(cols)]], names)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")
 

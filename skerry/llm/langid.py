@@ -1,6 +1,6 @@
 """Language identification by nearest centroid.
 
-A text is a vector of hashed character n-grams (1 to 3 of letters and word ends), log-scaled, weighted by inverse document frequency and normalised. Each language has CENTROIDS centroids, found by spherical k-means, and a text gets the language of the centroid of greatest cosine, which is the score. A text that is farther from all centroids than nearly all training texts are from their own is rejected.
+A text is a vector of hashed character n-grams (1 to 3 of letters and word ends), log-scaled, weighted by inverse document frequency and normalised. Each language has CENTROIDS centroids, found by spherical k-means over all its labelled texts, and a text gets the language of the centroid of greatest cosine, which is the score. A text that is farther from all centroids than nearly all training texts are from their own is rejected.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import stage
+from .common import drop_path, new_path, stage_at
 from .tokens import release
 
-#: Of each language at most SAMPLE labelled texts fit its centroids, those of the smallest hashes of identifier and text.
-DIMS, CENTROIDS, SAMPLE, MARGIN = 4096, 4, 400, 0.5
+#: k-means ends when nothing changes, after ROUNDS rounds at the latest.
+DIMS, CENTROIDS, ROUNDS, MARGIN = 4096, 4, 12, 0.5
+#: Vectors are summed in units of 1 / UNIT, as whole numbers, so that sums don't depend on their order; a task gives its sums on in slices of SLICE places.
+UNIT, SLICE = 1 << 30, 128
 
 
 _letters = None
@@ -78,97 +80,252 @@ class Model:
         return [(self.languages[b], float(cos[k, b])) for k, b in enumerate(best)]
 
 
-def _centroids(own, most: int):
-    """Spherical k-means of unit rows, whose order decides ties."""
+def held_out(doc_id: Column) -> Column:
+    """The rows that no fit sees."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def _packed(counts) -> tuple[bytes, bytes, bytes]:
+    """Places of the n-grams that there are, in 16 bits each; their counts, in a byte each; and in 64 bits each, those above 254, which have byte 255."""
     import numpy as np
 
-    seeds = [int((own @ own.mean(axis=0)).argmax())]
-    while len(seeds) < min(most, len(own)):  # farthest first
-        seeds.append(int((own @ own[seeds].T).max(axis=1).argmin()))
-    c = own[seeds]
-    for _ in range(12):
-        to = (own @ c.T).argmax(axis=1)
-        c = np.stack([own[to == k].mean(axis=0) if (to == k).any() else c[k] for k in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return c.astype(np.float32)
+    at = np.flatnonzero(counts)
+    n = counts[at]
+    return at.astype("<u2").tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n > 254].astype("<i8").tobytes()
 
 
-def held_out(doc_id: Column) -> Column:
-    """The rows that no fit sees."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+def _unpacked(places: list[bytes], counts: list[bytes], above: list[bytes]):
+    """Of packed texts: the row, place and count of each n-gram that there is, and where each row begins."""
+    import numpy as np
+
+    sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+    n = np.frombuffer(b"".join(counts), np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(b"".join(above), "<i8")
+    return np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(b"".join(places), "<u2").astype(np.int64), n, np.cumsum(sizes) - sizes
+
+
+def _units(packed, idf):
+    """As _unpacked, with the entries of unit vectors for counts."""
+    import numpy as np
+
+    rows, at, n, starts = _unpacked(*packed)
+    v = (np.log1p(n.astype(np.float32)) * idf[at]).astype(np.float64)
+    v /= np.sqrt(np.add.reduceat(v * v, starts))[rows]
+    return rows, at, v, starts
 
 
-def _counted(train: DataFrame, share: Column, sample: int) -> DataFrame:
-    """Of train (text, lang, h): a row (lang, h, counts) for each text of the sample, and one for each task, with neither lang nor h, that counts the texts that have each n-gram, the last number being that of all texts with a letter."""
+def _cosines(own, rows, at, v, starts, c):
+    """Cosines of rows with the centroids c (centroids x languages x DIMS) of their own language."""
+    import numpy as np
+
+    place = (own * DIMS)[rows] + at
+    return np.stack([np.add.reduceat(v * k.reshape(-1)[place], starts) for k in c], axis=1)
+
+
+def _counted(train: DataFrame) -> DataFrame:
+    """Of train (text, lang, h): a row (lang, h, places, counts, above) for each text with a letter, and one for each task, with frequencies alone, that counts the texts that have each n-gram, the last number being that of all texts with a letter."""
     import pyarrow as pa
 
+    kinds = {"lang": pa.string(), "h": pa.int64(), "places": pa.binary(), "counts": pa.binary(), "above": pa.binary(), "frequencies": pa.list_(pa.int64())}
+
     def run(batches):
         import numpy as np
 
         release()
-        frequencies, taken = np.zeros(DIMS + 1, np.int64), {}
+        frequencies = np.zeros(DIMS + 1, np.int64)
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                rows, part = [], b.slice(k, 256)
-                for t, lang, h, some in zip(part.column(0), *[c.to_pylist() for c in part.columns[1:]], strict=True):
+                rows = []
+                for t, lang, h in zip(*b.slice(k, 256).columns, strict=True):
                     counts = ngram_counts(t.as_py())
-                    if counts is None:
-                        continue
-                    frequencies[:-1] += counts > 0
-                    frequencies[-1] += 1
-                    if some and h not in (own := taken.setdefault(lang, set())) and (len(own) < sample or h < max(own)):
-                        own.add(h)  # of this task's texts no more than `sample` can be among the first
-                        if len(own) > sample:
-                            own.remove(max(own))
-                        rows.append((lang, h, counts))
+                    if counts is not None:
+                        frequencies[:-1] += counts > 0
+                        frequencies[-1] += 1
+                        rows.append((lang.as_py(), h.as_py(), *_packed(counts), None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["lang", "h", "counts"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([frequencies], pa.list_(pa.int64()))], ["lang", "h", "counts"])
+                    yield batch(rows)
+        yield batch([(None, None, None, None, None, frequencies)])
 
-    return train.select("text", "lang", "h", share.alias("some")).mapInArrow(run, "lang string, h long, counts array<long>")
+    return train.select("text", "lang", "h").mapInArrow(run, "lang string, h long, places binary, counts binary, above binary, frequencies array<long>")
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
-    """Learns from text and non-null lang of documents (doc_id, text, lang) that aren't held out. Languages, document frequencies and the number of texts are counted over all of them. Every language is learned; about 1.5 * sample of its texts are gathered, distinct in identifier and text, and the first `sample` by hash of these fit its centroids, each language in a task of its own. The model has `centroids` rows of DIMS numbers a language. None if there is nothing to learn from."""
+def _sums(texts: DataFrame, languages: list[str], idf, c):
+    """Sums of the texts' unit vectors, in units of 1 / UNIT, by the nearest of c's centroids of their own language; without c by language alone. (centroids x languages x DIMS)"""
     import numpy as np
 
-    train = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"))
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row a language
-    many = {x: (1.5 * sample + 20) / n for x, n in sizes.items() if n > 1.5 * sample + 20}
-    part = F.element_at(F.create_map(*[F.lit(y) for x in many.items() for y in x]), F.col("lang")) if many else F.lit(None).cast("double")
-    found = stage(_counted(train, F.pmod("h", F.lit(1 << 30)) < F.coalesce(part, F.lit(1.0)) * (1 << 30), sample), "ngrams")
-    texts = [0] * (DIMS + 1)
-    for r in found.filter("lang is null").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # DIMS rows
-        texts[r.k] = r.n
-    if not texts[-1]:
-        return None
-    model = Model([], None, (np.log((1 + texts[-1]) / (1 + np.array(texts[:-1]))) + 1).astype(np.float32), 0.0)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    some = found.filter("lang is not null").dropDuplicates(["lang", "h"])
+    many = 1 if c is None else len(c)
+    known = texts.sparkSession.sparkContext.broadcast(({x: k for k, x in enumerate(languages)}, idf, c))
+
+    def given(sums):
+        import pyarrow as pa
+
+        slices = [(key, k, x) for key, s in sums.items() for k, x in enumerate(s.reshape(-1, SLICE)) if x.any()]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in slices], pa.int64()), pa.array([x[1] for x in slices], pa.int64()), pa.array([x[2].tobytes() for x in slices], pa.binary())], ["centroid", "slice", "sums"])
+
+    def of_task(batches):
+        release()
+        index, idf, c = known.value
+        sums = {}
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                lang, *packed = (x.to_pylist() for x in b.slice(k, 256).columns)
+                own = np.array([index[x] for x in lang])
+                rows, at, v, starts = _units(packed, idf)
+                to = own if c is None else _cosines(own, rows, at, v, starts, c).argmax(axis=1) * len(index) + own
+                keys, nth = np.unique(to, return_inverse=True)
+                found = np.bincount(nth[rows] * DIMS + at, np.rint(v * UNIT), len(keys) * DIMS).astype(np.int64).reshape(-1, DIMS)
+                for key, x in zip(keys.tolist(), found, strict=True):
+                    sums[key] = sums[key] + x if key in sums else x
+                if len(sums) > 512:
+                    yield given(sums)
+                    sums = {}
+        if sums:
+            yield given(sums)
+
+    def of_all(batches):
+        sums = {}
+        for b in batches:
+            for centroid, k, x in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                x = np.frombuffer(x, np.int64)
+                sums[centroid, k] = sums[centroid, k] + x if (centroid, k) in sums else x
+        if sums:
+            import pyarrow as pa
 
-    def cluster(rows):
-        import pandas as pd
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["centroid", "slice", "sums"])
 
-        rows = rows.sort_values("h").head(sample)
-        c = _centroids(shared.value.vectors(np.stack(rows["counts"].to_list())), centroids)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]] * len(c), "centroid": [x.tobytes() for x in c], "nth": range(len(c)), "last": [int(rows["h"].iloc[-1])] * len(c)})
+    kinds = "centroid long, slice long, sums binary"
+    out = np.zeros((many * len(languages), DIMS // SLICE, SLICE), np.int64)
+    for r in texts.select("lang", "places", "counts", "above").mapInArrow(of_task, kinds).repartition("centroid", "slice").mapInArrow(of_all, kinds).collect():  # what the model has, in 64 bits
+        out[r.centroid, r.slice] = np.frombuffer(r.sums, np.int64)
+    known.unpersist()
+    return out.reshape(many, len(languages), DIMS)
 
-    fitted = sorted((r.lang, r.nth, r.last, bytes(r.centroid)) for r in some.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, nth int, last long").collect())  # `centroids` rows a language
-    model.languages = [r[0] for r in fitted]
-    model.centroids = np.stack([np.frombuffer(r[3], np.float32) for r in fitted])
-    last = {r[0]: r[2] for r in fitted}
-    known = documents.sparkSession.sparkContext.broadcast(model)
 
-    def nearest(batches):
+def _farthest(texts: DataFrame, languages: list[str], idf, c, nearest: bool = False):
+    """Of each language, the unit vector of the text whose greatest cosine with c's centroids of its language is least, and 1 less this cosine; or greatest, if nearest. Ties go to the smallest h."""
+    import numpy as np
+
+    known = texts.sparkSession.sparkContext.broadcast(({x: k for k, x in enumerate(languages)}, idf, c))
+
+    def of_task(batches):
         import pyarrow as pa
 
-        m = known.value
+        release()
+        index, idf, c = known.value
+        best = {}
         for b in batches:
-            own = [np.array(c) for x, h, c in zip(*[c.to_pylist() for c in b.columns], strict=True) if h <= last[x]]
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array([x for _, x in m.predict(np.stack(own))], pa.float64())], ["best"])
+            for k in range(0, b.num_rows, 256):
+                lang, h, *packed = (x.to_pylist() for x in b.slice(k, 256).columns)
+                own = np.array([index[x] for x in lang])
+                cos = _cosines(own, *_units(packed, idf), c).max(axis=1)
+                cos = -cos if nearest else cos
+                order = np.lexsort((np.array(h), cos, own))
+                for i in order[np.unique(own[order], return_index=True)[1]].tolist():
+                    new = (float(cos[i]), h[i], *(x[i] for x in packed))
+                    if lang[i] not in best or new[:2] < best[lang[i]][:2]:
+                        best[lang[i]] = new
+        if best:
+            columns = zip(*((x, *y) for x, y in best.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["lang", "cos", "h", "places", "counts", "above"])
+
+    found = texts.select("lang", "h", "places", "counts", "above").mapInArrow(of_task, "lang string, cos double, h long, places binary, counts binary, above binary")
+    out, far, at = np.zeros((len(languages), DIMS)), np.zeros(len(languages)), {x: k for k, x in enumerate(languages)}
+    for r in found.groupBy("lang").agg(F.min(F.struct("cos", "h", "places", "counts", "above")).alias("best")).select("lang", "best.*").collect():  # a row a language
+        _, places, v, _ = _units(([r.places], [r.counts], [r.above]), idf)
+        out[at[r.lang], places], far[at[r.lang]] = v, 1 - r.cos
+    known.unpersist()
+    return out, far
+
+
+def _directions(sums, else_):
+    """Sums as unit rows; else_ where there is no sum."""
+    import numpy as np
+
+    norms = np.linalg.norm(sums.astype(np.float64), axis=-1, keepdims=True)
+    return np.where(norms > 0, sums / np.maximum(norms, 1e-9), else_).astype(np.float32)
+
 
-    model.least = float(some.select("lang", "h", "counts").mapInArrow(nearest, "best double").agg(F.percentile("best", F.lit(0.005))).first()[0] * MARGIN)
+def _centroids(texts: DataFrame, languages: list[str], idf, most: int):
+    """Spherical k-means of all texts of each language at once (centroids x languages x DIMS). It starts with the text that is nearest to their mean, and then with the text farthest from those taken so far, as long as it differs from them; the rows of centroids that a language doesn't have are zero."""
+    import numpy as np
+
+    mean = _directions(_sums(texts, languages, idf, None), 0)
+    c = _farthest(texts, languages, idf, mean, nearest=True)[0][None].astype(np.float32)
+    while len(c) < most:
+        text, far = _farthest(texts, languages, idf, c)
+        if far.max() < 1e-6:
+            break
+        c = np.concatenate([c, np.where(far[:, None] < 1e-6, 0, text)[None].astype(np.float32)])
+    for _ in range(ROUNDS):
+        before, c = c, _directions(_sums(texts, languages, idf, c), c)
+        if np.array_equal(before, c):
+            break
+    return c
+
+
+def _percentile(values: DataFrame, part: float) -> float:
+    """The exact percentile, interpolated, of numbers from 0 to 1 that have few digits, as those of 32 bits have. Counts of 65,537 ranges tell which to look into."""
+    import math
+
+    ranged = values.select(F.col(values.columns[0]).alias("x"), F.floor(F.col(values.columns[0]) * 65536).alias("range"))
+    counts = sorted((r["range"], r["count"]) for r in ranged.groupBy("range").count().collect())
+    place, found, before = part * (sum(n for _, n in counts) - 1), [], 0
+    for k, n in counts:
+        if before <= math.ceil(place) and before + n > math.floor(place):
+            found.append((k, before))
+        before += n
+    at = {}
+    for k, before in found:
+        for x, n in sorted((r["x"], r["count"]) for r in ranged.filter(F.col("range") == k).groupBy("x").count().collect()):
+            for p in (math.floor(place), math.ceil(place)):
+                if before <= p < before + n:
+                    at[p] = x
+            before += n
+    low, high = at[math.floor(place)], at[math.ceil(place)]
+    return low + (high - low) * (place - math.floor(place))
+
+
+def fit(documents: DataFrame, centroids: int = CENTROIDS) -> Model | None:
+    """Learns from text and non-null lang of documents (doc_id, text, lang) that aren't held out, from all of them: languages, document frequencies, centroids and the least cosine. A row that repeats counts as often as it is there. N-grams are counted once and staged in 3 bytes for each that a text has; each step of k-means reads them again. The model has at most `centroids` rows of DIMS numbers a language, in the driver's memory. None if there is nothing to learn from."""
+    import numpy as np
+
+    spark = documents.sparkSession
+    train = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"))
+    made = [new_path(spark, "ngrams"), new_path(spark, "nearest")]
+    found = stage_at(_counted(train), made[0])
+    seen = [0] * (DIMS + 1)
+    for r in found.filter("lang is null").select(F.posexplode("frequencies").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # DIMS rows
+        seen[r.k] = r.n
+    if not seen[-1]:
+        drop_path(spark, made[0])
+        return None
+    texts = found.filter("lang is not null")
+    languages = sorted(r.lang for r in texts.select("lang").distinct().collect())
+    model = Model([], None, (np.log((1 + seen[-1]) / (1 + np.array(seen[:-1]))) + 1).astype(np.float32), 0.0)
+    c = _centroids(texts, languages, model.idf, centroids).transpose(1, 0, 2)
+    there = c.any(axis=2)
+    model.languages = [x for k, x in enumerate(languages) for _ in range(there[k].sum())]
+    model.centroids = np.ascontiguousarray(c[there])
+    known = spark.sparkContext.broadcast(model)
+
+    def nearest(batches):
+        import pyarrow as pa
+
+        release()
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                rows, at, n, starts = _unpacked(*(x.to_pylist() for x in b.slice(k, 256).columns))
+                counts = np.zeros((len(starts), DIMS), np.int64)
+                counts[rows, at] = n
+                yield pa.RecordBatch.from_arrays([pa.array([x for _, x in known.value.predict(counts)], pa.float64())], ["best"])
+
+    model.least = _percentile(stage_at(texts.select("places", "counts", "above").mapInArrow(nearest, "best double"), made[1]), 0.005) * MARGIN
+    for path in made:
+        drop_path(spark, path)
     return model
 
 

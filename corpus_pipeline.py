@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import decontaminate, langid, linededup, nearcopies, packing, simhash
-from skerry.llm.common import same, stage
+from skerry.llm.common import may_hold, same, stage
 
 #: What the near-duplicate stage takes.
 SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows that have a (doc_id, key) of gone; the null doc_id is a value like others. gone is staged, so that the join's kind follows its true size."""
-    keyed, gone = docs.withColumn("__key", nearcopies.text_key()), stage(gone.select("doc_id", "key"), "gone")
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["__key"] == gone["key"]), "left_anti").select(*docs.columns)
+    """docs without the rows that have a (doc_id, key) of gone; the null doc_id is a value like others. gone is staged, so that the join's kind follows its true size, and texts that a filter of gone tells apart from it never meet it, so that they aren't shuffled."""
+    gone = stage(gone.select("doc_id", "key"), "gone")
+    if gone.isEmpty():
+        return docs
+    keyed = docs.withColumn("key", nearcopies.text_key())
+    maybe = may_hold(gone, "doc_id", "key")
+    met = keyed.filter(maybe)
+    left = met.join(gone, same(met, gone, "doc_id", "key"), "left_anti")
+    return keyed.filter(~maybe).unionByName(left).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     twice = stage(rows.join(kept, same(rows, kept, "root", "doc_id", "key"), "left_semi").filter("n > 1").select("doc_id", "key"), "twice")
     if twice.isEmpty():
         return _without(docs, gone)
-    once = docs.withColumn("key", nearcopies.text_key()).join(twice, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(*docs.columns)
+    once = docs.withColumn("key", nearcopies.text_key()).filter(may_hold(twice, "doc_id", "key")).join(twice, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(*docs.columns)
     return _without(docs, gone.select("doc_id", "key").unionByName(twice)).unionByName(once)
 
 

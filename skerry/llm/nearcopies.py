@@ -14,14 +14,14 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, drop_path, may_hold, stage, stage_into
 from .shingles import fingerprint, shingle_hashes
 from .tokens import release
 
 #: One text in SAMPLE is counted for the order of shingles, all of a small table; FREQUENT are told apart. Neither changes a result.
 SAMPLE, FREQUENT = 16, 200_000
-#: 64-bit words of a parity bitmap.
-WORDS = 16
+#: 64-bit words of a parity bitmap: as many bits as its set has members, in a power of 2 between these.
+WORDS, MOST_WORDS = 16, 1024
 
 
 def text_key(c: str = "text") -> Column:
@@ -37,7 +37,7 @@ def _set(text: str | None, shingle: int):
 
 
 def sketches(documents: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, fp, n, bits) for each row: the text's hash, its fingerprint, the size of its set and the parity, by place, of the set's hashes modulo 64 * WORDS."""
+    """(doc_id, key, fp, n, bits) for each row: the text's hash, its fingerprint, the size of its set and the parity, by place, of the set's hashes modulo the bits of its bitmap."""
     import pyarrow as pa
 
     def run(batches):
@@ -53,7 +53,8 @@ def sketches(documents: DataFrame, shingle: int) -> DataFrame:
                     own = np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
                     fps.append(fingerprint(hashes))
                     ns.append(len(own))
-                    odd = np.bincount((own % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+                    size = 64 * min(MOST_WORDS, max(WORDS, 1 << (len(own) - 1).bit_length() >> 6))
+                    odd = np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size) & 1
                     bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "n", "bits"])
 
@@ -125,7 +126,11 @@ def _possible(pairs: DataFrame, texts: DataFrame, s: Fraction) -> DataFrame:
     """The distinct pairs (u, v) that sizes and bitmaps, texts(key, n, bits), don't rule out."""
     for end in ("u", "v"):
         pairs = pairs.join(texts.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
-    apart = sum((F.bit_count(F.get("bits_u", k).bitwiseXOR(F.get("bits_v", k))) for k in range(WORDS)), F.lit(0))
+    least = F.least(F.size("bits_u"), F.size("bits_v"))
+    word = lambda end, k: F.aggregate(F.sequence(k, F.size(end) - 1, least), F.lit(0).cast("long"), lambda x, i: x.bitwiseXOR(F.get(end, i)))  # noqa: E731; a bitmap folds to a smaller one
+    folded = F.aggregate(F.sequence(F.lit(0), least - 1), F.lit(0), lambda x, k: x + F.bit_count(word("bits_u", k).bitwiseXOR(word("bits_v", k))))
+    short = sum((F.bit_count(F.get("bits_u", k).bitwiseXOR(F.get("bits_v", k))) for k in range(WORDS)), F.lit(0))
+    apart = F.when(F.greatest(F.size("bits_u"), F.size("bits_v")) == WORDS, short).otherwise(folded)
     a, b = s.numerator, s.denominator
     size = b * F.least("n_u", "n_v").cast("long") >= a * F.greatest("n_u", "n_v")
     return pairs.filter(size & ((a + b) * apart <= (b - a) * (F.col("n_u").cast("long") + F.col("n_v")))).select("u", "v")
@@ -133,12 +138,16 @@ def _possible(pairs: DataFrame, texts: DataFrame, s: Fraction) -> DataFrame:
 
 def _verified(pairs: DataFrame, documents: DataFrame, shingle: int, s: Fraction) -> DataFrame:
     """Those of pairs, a staged table, whose texts are similar. Only their texts' sets are made."""
-    keys = stage(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "wanted")
-    sets = stage(_sets(documents.join(keys, "key", "left_semi").dropDuplicates(["key"]), shingle), "sets")
+    made: list[str] = []
+    keys = stage_into(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "wanted", made)
+    sets = stage_into(_sets(documents.filter(may_hold(keys, "key")).join(keys, "key", "left_semi").dropDuplicates(["key"]), shingle), "sets", made)
     for end in ("u", "v"):
         pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("hs").alias(f"hs_{end}")), end)
     a, b = s.numerator, s.denominator
-    return pairs.filter((a + b) * F.size(F.array_intersect("hs_u", "hs_v")).cast("long") >= a * (F.size("hs_u").cast("long") + F.size("hs_v"))).select("u", "v")
+    out = stage(pairs.filter((a + b) * F.size(F.array_intersect("hs_u", "hs_v")).cast("long") >= a * (F.size("hs_u").cast("long") + F.size("hs_v"))).select("u", "v"), "links")
+    for path in made:
+        drop_path(out.sparkSession, path)
+    return out
 
 
 def links(documents: DataFrame, texts: DataFrame, proposed: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -147,9 +156,10 @@ def links(documents: DataFrame, texts: DataFrame, proposed: DataFrame, shingle:
     spark, s = documents.sparkSession, Fraction(str(similarity))
     a, b = s.numerator, s.denominator
     known = spark.sparkContext.broadcast(_frequent(documents, shingle))  # FREQUENT rows at most
-    under = Window.partitionBy("h")
+    under, made = Window.partitionBy("h"), []
     met = _prefixes(documents, shingle, s, known).withColumn("lead", F.max(F.struct("central", "key", "n", "pos")).over(under)).withColumn("least", F.min("key").over(under)).withColumn("most", F.max("key").over(under))
-    met = stage(met.filter("least <> most").select("h", "key", "n", "pos", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos")), "met")
+    met = met.filter("least <> most").dropDuplicates(["h", "key"])  # as it is dealt by h, that shuffles nothing
+    met = stage_into(met.select("h", "key", "n", "pos", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos")), "met", made)
 
     def near(n, m, p, q):
         n, m, p, q = (F.col(x).cast("long") for x in (n, m, p, q))
@@ -157,13 +167,16 @@ def links(documents: DataFrame, texts: DataFrame, proposed: DataFrame, shingle:
 
     first = met.filter("key <> lead").filter(near("n", "lead_n", "pos", "lead_pos")).select(F.col("lead").alias("u"), F.col("key").alias("v"))
     first = first.unionByName(proposed.select("u", "v")).distinct()
-    found = stage(_verified(stage(_possible(first, texts, s), "first"), documents, shingle, s), "links")
-    root = components(found).select(F.col("u").alias("key"), F.col("v").alias("root"))
-    own = stage(met.join(root, "key", "left").select("h", "key", "n", "pos", F.coalesce("root", "key").alias("root")).distinct(), "own")
-    split = own.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("h")
-    open_ = stage(own.join(split, "h", "left_semi"), "open")
+    found = _verified(stage_into(_possible(first, texts, s), "first", made), documents, shingle, s)
+    root = stage_into(components(found).select(F.col("u").alias("key"), F.col("v").alias("root")), "roots", made)
+    own = met.select("h", "key", "n", "pos").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    split = own.withColumn("least", F.min("root").over(under)).withColumn("most", F.max("root").over(under)).filter("least <> most")
+    open_ = stage_into(split.select("h", "key", "n", "pos", "root"), "open", made)
     one = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "root")])
     two = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root")])
     rest = one.join(two, (one["h"] == two["h"]) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & near("n_a", "n_b", "pos_a", "pos_b"))
     rest = rest.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct()
-    return found.unionByName(_verified(stage(_possible(rest, texts, s), "rest"), documents, shingle, s))
+    found = found.unionByName(_verified(stage_into(_possible(rest, texts, s), "rest", made), documents, shingle, s))
+    for path in made:
+        drop_path(spark, path)
+    return found

@@ -10,6 +10,8 @@ from skerry.llm.common import may_hold, same, stage
 
 #: What the near-duplicate stage takes.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Entries of a generation of a worker's cache of encoded words: fewer than alone, as executors have held the stages before.
+CACHE = 60_000
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=CACHE)
 
 
 STAGES = [

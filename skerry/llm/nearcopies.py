@@ -57,6 +57,7 @@ def sketches(documents: DataFrame, shingle: int) -> DataFrame:
                     odd = np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size) & 1
                     bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "n", "bits"])
+        release()
 
     return documents.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long, n int, bits array<long>")
 
@@ -72,6 +73,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
                 part = b.slice(k, 64)
                 hs = [_set(t.as_py(), shingle) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hs, pa.list_(pa.int64()))], ["key", "hs"])
+        release()
 
     return texts.select("key", "text").mapInArrow(run, "key long, hs array<long>")
 
@@ -108,6 +110,7 @@ def _prefixes(texts: DataFrame, shingle: int, s: Fraction, known) -> DataFrame:
                 if cols[0]:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32())
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, kinds, strict=True)], ["h", "key", "n", "pos", "central"])
+        release()
 
     return texts.select("key", "text").mapInArrow(run, "h long, key long, n int, pos int, central float")
 

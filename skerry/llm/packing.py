@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stage
-from .tokens import default_vocabulary, encoder
+from .tokens import CACHE, default_vocabulary, encoder
 
 SIZE, NODES, FILLINGS, TRIES = 2048, 2_000, 6, 24
 POWERS = (1.0, 2.0, 4.0, 8.0, 0.5)
@@ -244,7 +244,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[
     return dict(out)
 
 
-def pieces(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+def pieces(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None, end_id: int = 0, cache: int = CACHE) -> DataFrame:
     """Tokenizes: (doc_id, piece, start, length, ids_crc32, ids). A document longer than size is cut so that all pieces but the first are full."""
     import pyarrow as pa
 
@@ -254,7 +254,7 @@ def pieces(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None
     def run(batches):
         import zlib
 
-        enc, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
+        enc, end = encoder(vocabulary, cache), int(end_id).to_bytes(4, "little")
         for b in batches:
             cols = [[], [], [], [], []]
             for k in range(0, b.num_rows, 256):
@@ -312,12 +312,12 @@ def assign(items: DataFrame, size: int = SIZE, nodes: int = NODES, part_rows: in
     return ranked.mapInArrow(run, StructType([*items.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
-def pack(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None, end_id: int = 0, nodes: int = NODES) -> DataFrame:
+def pack(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None, end_id: int = 0, nodes: int = NODES, cache: int = CACHE) -> DataFrame:
     """Returns one row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    documents needs doc_id (integer, null allowed) and text; a null or empty text is the end id alone. Rows that repeat a doc_id are packed one by one. An empty table gives an empty table; extra columns are left alone. `nodes` bounds the search; the incumbent, at first that of best fit decreasing, is the result if it is used up.
+    documents needs doc_id (integer, null allowed) and text; a null or empty text is the end id alone. Rows that repeat a doc_id are packed one by one. An empty table gives an empty table; extra columns are left alone. `nodes` bounds the search; the incumbent, at first that of best fit decreasing, is the result if it is used up. `cache` bounds a worker's memory for words that it has encoded (Encoder).
     """
-    return assign(stage(pieces(documents, size, vocabulary, end_id), "pieces"), size, nodes)
+    return assign(stage(pieces(documents, size, vocabulary, end_id, cache), "pieces"), size, nodes)
 
 
 def op10_best_fit(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import string
 import sys
@@ -69,7 +70,7 @@ class Encoder:
     The byte-level pre-tokenizer always parts a text before a single space, and around a single line feed, between two visible characters. So the pieces between those places are encoded alone, each distinct one once, and their ids joined. Texts with other white space, with runs of it or with a mark of a special token are encoded whole, and so are all texts with a vocabulary of another kind.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cache: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,10 +79,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         splitter = repr(self.tokenizer.pre_tokenizer)
         self.parted = splitter.startswith("ByteLevel(") and "add_prefix_space=False" in splitter and "use_regex=True" in splitter and self.tokenizer.normalizer is None and sys.byteorder == "little"
-        self.cache = _Pieces(self.tokenizer, {})
+        self.cache, self.most = _Pieces(self.tokenizer, {}), cache
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.most:
             self.cache.old = {}
             self.cache = _Pieces(self.tokenizer, self.cache)
         find, out = self.cache.__getitem__, []
@@ -95,16 +96,30 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def _trim() -> None:
+    """Gives the system back what the worker's earlier tasks have freed; allocators keep it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def release() -> None:
     """Frees the worker's encoders; tasks of other operators begin with it, as workers outlive stages."""
     _encoders.clear()
+    _trim()
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """The worker's encoder, kept from task to task."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+def encoder(vocabulary: str, cache: int = CACHE) -> Encoder:
+    """The worker's encoder, kept from task to task; cache: the most entries of a generation."""
+    if (vocabulary, cache) not in _encoders:
+        _trim()
+        _encoders[vocabulary, cache] = Encoder(vocabulary, cache)
+        _trim()  # of what reading the vocabulary took
+    return _encoders[vocabulary, cache]
